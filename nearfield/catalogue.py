@@ -5,11 +5,390 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import metrics
+from nearfield.functions.distances import METRICS
+from nearfield.functions.vectors import PRIME, coefficients, norms, renumber, split_by_position, to_arrays
+from nearfield.index import create_index
+from nearfield.operators import graph, kmeans, knn, lsh, pq, trees
+from nearfield.sources import vectors as src
+
+K = 10
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+PURCHASE = "purchase AS (SELECT o_custkey AS vec_id, CAST(l_partkey AS INTEGER) AS idx, sum(l_quantity) AS val FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+NORMS = "norms AS (SELECT vec_id, sum(val * val) AS n2, count(*) AS nnz FROM purchase GROUP BY 1)"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def every_hundredth(v: DataFrame) -> DataFrame:
+    return knn.as_queries(v, F.col("vec_id") % 100 == 0)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
+
+
+def hash_sql(x: str, seed: int, j: int) -> str:
+    a, b = coefficients(seed, j)
+    return f"(({a}::BIGINT * (({x}) % {PRIME}) + {b}) % {PRIME})"
+
+
+def distance_sql(name: str) -> str:
+    cos = "(CASE WHEN qn2 = 0 OR bn2 = 0 THEN 0.0 ELSE dot / (sqrt(qn2) * sqrt(bn2)) END)"
+    return {
+        "dot": "dot", "inner_product": "-dot", "euclidean": "sqrt(greatest(qn2 + bn2 - 2 * dot, 0.0))", "cosine": f"1 - {cos}",
+        "jaccard": "1 - (CASE WHEN qnnz + bnnz = 0 THEN 1.0 ELSE inter / (qnnz + bnnz - inter) END)", "angular": f"acos(least(1.0, greatest(-1.0, {cos}))) / 3.141592653589793",
+    }[name]
+
+
+def pairs_sql(where: str = "vec_id % 100 = 0") -> str:
+    return f"""WITH {PURCHASE}, {NORMS},
+        q AS (SELECT vec_id AS query_id, idx, val AS qv FROM purchase WHERE {where}),
+        o AS (SELECT query_id, vec_id, sum(qv * val) AS dot, count(*) AS inter FROM q JOIN purchase USING (idx) GROUP BY 1, 2),
+        p AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(dot, 0.0) AS dot, coalesce(inter, 0) AS inter, a.n2 AS qn2, a.nnz AS qnnz, b.n2 AS bn2, b.nnz AS bnnz
+              FROM (SELECT * FROM norms WHERE {where}) a CROSS JOIN norms b LEFT JOIN o ON o.query_id = a.vec_id AND o.vec_id = b.vec_id)"""
+
+
+def knn_sql(name: str, k: int = K, base: str = "true") -> str:
+    return f"""{pairs_sql()}, d AS (SELECT query_id, vec_id, {distance_sql(name)} AS d FROM p WHERE {base}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d)
+        SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rnk <= {k}"""
+
+
+# --- sources -----------------------------------------------------------------
+
+query("vec_purchase", f"WITH {PURCHASE} SELECT * FROM purchase")(src.purchase)
+
+TERMS = r"terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(regexp_replace(text, '[\r\n\t]+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2)"
+IDF = "n AS (SELECT count(DISTINCT doc_id) AS n FROM terms), idf AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM terms GROUP BY 1)"
+
+
+@query("vec_doc_tf", f"WITH {TERMS} SELECT * FROM terms")
+def vec_doc_tf(spark, sf):
+    return src.terms(src.table(spark, sf, "documents"))
+
+
+@query("vec_doc_tfidf", f"WITH {TERMS}, {IDF}, raw AS (SELECT doc_id, term, tf * idf AS w FROM terms JOIN idf USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1) SELECT doc_id, term, round(w / norm, 6) + 0.0 AS w FROM raw JOIN l USING (doc_id)")
+def vec_doc_tfidf(spark, sf):
+    return rounded(src.tfidf(src.terms(src.table(spark, sf, "documents"))), "w")
+
+
+@query("vec_embed_sparse", "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS idx, unnest(embedding) AS x FROM embeddings) SELECT vec_id, idx::INTEGER AS idx, round(x::DOUBLE, 6) + 0.0 AS val FROM e WHERE abs(x) >= 0.15")
+def vec_embed_sparse(spark, sf):
+    return rounded(src.sparse_embeddings(src.table(spark, sf, "embeddings")), "val")
+
+
+@query("array_form", f"WITH {PURCHASE} SELECT vec_id, list(idx ORDER BY idx)::VARCHAR AS indices, len(list(idx))::INTEGER AS nnz FROM purchase GROUP BY 1")
+def array_form(spark, sf):
+    return to_arrays(src.purchase(spark, sf)).select("vec_id", F.concat(F.lit("["), F.array_join("indices", ", "), F.lit("]")).alias("indices"), F.size("values").alias("nnz"))
+
+
+# --- norms, postings, statistics --------------------------------------------
+
+
+@query("norms_nnz", f"WITH {PURCHASE}, {NORMS} SELECT * FROM norms")
+def norms_nnz(spark, sf):
+    return norms(src.purchase(spark, sf))
+
+
+@query("inverted_postings", f"WITH {PURCHASE} SELECT idx, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last, sum(val) AS total FROM purchase GROUP BY 1")
+def inverted_postings(spark, sf):
+    return src.purchase(spark, sf).groupBy("idx").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.sum("val").alias("total"))
+
+
+@query("sparsity_hist", f"WITH {PURCHASE}, {NORMS} SELECT nnz, count(*) AS n FROM norms GROUP BY 1")
+def sparsity_hist(spark, sf):
+    return metrics.sparsity_histogram(norms(src.purchase(spark, sf)))
+
+
+@query("sparsity_mean_median", f"WITH {PURCHASE}, {NORMS} SELECT round(avg(nnz), 6) + 0.0 AS mean, median(nnz)::DOUBLE AS median FROM norms")
+def sparsity_mean_median(spark, sf):
+    return rounded(metrics.mean_median(norms(src.purchase(spark, sf)), "nnz"), "mean")
+
+
+@query("nn_distance_hist", f"WITH d AS ({knn_sql('euclidean', 1, 'query_id <> vec_id')}) SELECT floor(distance / 10)::BIGINT AS bin, count(*) AS n FROM d GROUP BY 1")
+def nn_distance_hist(spark, sf):
+    v = src.purchase(spark, sf)
+    near = knn.knn(v, every_hundredth(v), 2, "euclidean").filter("query_id <> vec_id").groupBy("query_id").agg(F.min("distance").alias("d"))
+    return near.groupBy(F.floor(F.round("d", 6) / 10).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("renumber", "SELECT c_custkey AS vec_id, (row_number() OVER (ORDER BY c_custkey) - 1)::INTEGER AS position FROM customer WHERE c_custkey % 7 <> 0")
+def renumber_query(spark, sf):
+    return renumber(src.table(spark, sf, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("vec_id")))
+
+
+# --- exact search ---------------------------------------------------------------
+
+for _name in METRICS:
+
+    @query(f"dist_{_name}", f"{pairs_sql()} SELECT query_id, vec_id, round({distance_sql(_name)}, 6) + 0.0 AS distance FROM p WHERE inter > 0")
+    def dist(spark, sf, name=_name):
+        v = src.purchase(spark, sf)
+        q = every_hundredth(v)
+        return rounded(knn.score(knn.overlaps(v, q), norms(v), norms(q, key="query_id"), name), "distance").select("query_id", "vec_id", "distance")
+
+    @query(f"knn_{_name}", knn_sql(_name))
+    def exact(spark, sf, name=_name):
+        v = src.purchase(spark, sf)
+        return rounded(knn.knn(v, every_hundredth(v), K, name), "distance").select("query_id", "rnk", "vec_id", "distance")
+
+
+@query("knn_after_remove", knn_sql("cosine", K, "vec_id % 3 <> 0"))
+def knn_after_remove(spark, sf):
+    v = src.purchase(spark, sf)
+    gone = v.filter("vec_id % 3 = 0").select("vec_id").distinct()
+    return rounded(knn.knn(knn.remove(v, gone), every_hundredth(v), K, "cosine"), "distance").select("query_id", "rnk", "vec_id", "distance")
+
+
+@query("knn_after_add", knn_sql("euclidean"))
+def knn_after_add(spark, sf):
+    v = src.purchase(spark, sf)
+    index = create_index("linscan", "euclidean").fit(v.filter("vec_id % 2 = 0")).add(v.filter("vec_id % 2 = 1"))
+    return rounded(index.search(every_hundredth(v), K), "distance").select("query_id", "rnk", "vec_id", "distance")
+
+
+@query("centroid_top", f"WITH {PURCHASE}, {NORMS} SELECT vec_id, n2 FROM norms ORDER BY n2 DESC, vec_id LIMIT 10")
+def centroid_top(spark, sf):
+    return norms(src.purchase(spark, sf)).select("vec_id", "n2").orderBy(F.desc("n2"), "vec_id").limit(10)
+
+
+# --- locality-sensitive hashing ---------------------------------------------
+
+HASHES, BUCKETS = 4, 64
+MINHASH = f"sig AS ({' UNION ALL '.join(f'SELECT vec_id, {j} AS j, min({hash_sql('idx + 1', 1, j)}) AS h FROM purchase GROUP BY 1' for j in range(HASHES))})"
+
+
+def _simhash_sql() -> str:
+    bit = lambda j, b: f"(CASE WHEN sum(val * (CASE WHEN {hash_sql('idx + 1', 1001, j * 64 + b)} < {PRIME // 2} THEN 1 ELSE -1 END)) > 0 THEN {1 << b} ELSE 0 END)"
+    return f"sig AS ({' UNION ALL '.join(f'SELECT vec_id, {j} AS j, ({" + ".join(bit(j, b) for b in range(lsh.BITS))})::BIGINT AS h FROM purchase GROUP BY 1' for j in range(HASHES))})"
+
+
+def _lsh_sql(sig: str) -> str:
+    return f"""{pairs_sql()}, {sig}, b AS (SELECT vec_id, j, h % {BUCKETS} AS bucket FROM sig),
+        c AS (SELECT DISTINCT x.vec_id AS query_id, y.vec_id FROM b x JOIN b y USING (j, bucket) WHERE x.vec_id % 100 = 0),
+        d AS (SELECT query_id, vec_id, {distance_sql("jaccard")} AS d FROM p JOIN c USING (query_id, vec_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d)
+        SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rnk <= {K}"""
+
+
+@query("minhash_signature", f"WITH {PURCHASE}, {MINHASH} SELECT vec_id, j::INTEGER AS j, h FROM sig")
+def minhash_signature(spark, sf):
+    return lsh.minhash(src.purchase(spark, sf), HASHES)
+
+
+@query("simhash_signature", f"WITH {PURCHASE}, {_simhash_sql()} SELECT vec_id, j::INTEGER AS j, h FROM sig")
+def simhash_signature(spark, sf):
+    return lsh.simhash(src.purchase(spark, sf), HASHES)
+
+
+@query("minhash_candidates", f"WITH {PURCHASE}, {MINHASH}, b AS (SELECT vec_id, j, h % {BUCKETS} AS bucket FROM sig) SELECT DISTINCT x.vec_id AS query_id, y.vec_id FROM b x JOIN b y USING (j, bucket) WHERE x.vec_id % 100 = 0")
+def minhash_candidates(spark, sf):
+    v = src.purchase(spark, sf)
+    return lsh.candidates(lsh.buckets(lsh.minhash(v, HASHES), BUCKETS), lsh.buckets(lsh.minhash(every_hundredth(v), HASHES, key="query_id"), BUCKETS))
+
+
+@query("lsh_minhash_knn", _lsh_sql(MINHASH))
+def lsh_minhash_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    return rounded(lsh.lsh_knn(v, every_hundredth(v), K, "jaccard", "minhash", BUCKETS, HASHES), "distance")
+
+
+@query("lsh_simhash_knn", _lsh_sql(_simhash_sql()))
+def lsh_simhash_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    return rounded(lsh.lsh_knn(v, every_hundredth(v), K, "jaccard", "simhash", BUCKETS, HASHES), "distance")
+
+
+# --- k-means and quantisation ---------------------------------------------------
+
+PARTS, CLUSTERS = 4, 8
+
+
+def _init_sql(points: str, out: str, k: int) -> str:
+    return f"""{out} AS (SELECT p.g, cid, idx, val FROM {points} p JOIN (SELECT g, vec_id, row_number() OVER (PARTITION BY g ORDER BY {hash_sql("vec_id + 1", 1, 0)}, vec_id) - 1 AS cid
+        FROM (SELECT DISTINCT g, vec_id FROM {points})) i USING (g, vec_id) WHERE cid < {k})"""
+
+
+def _assign_sql(points: str, centers: str, out: str) -> str:
+    return f"""{out}_d AS (SELECT p.g, vec_id, cid, sum(p.val * c.val) AS dot FROM {points} p JOIN {centers} c USING (g, idx) GROUP BY 1, 2, 3),
+        {out}_p AS (SELECT g, vec_id, sum(val * val) AS qn2 FROM {points} GROUP BY 1, 2), {out}_c AS (SELECT g, cid, sum(val * val) AS bn2 FROM {centers} GROUP BY 1, 2),
+        {out}_r AS (SELECT p.g, p.vec_id, c.cid, sqrt(greatest(qn2 + bn2 - 2 * coalesce(dot, 0.0), 0.0)) AS distance FROM {out}_p p JOIN {out}_c c USING (g) LEFT JOIN {out}_d d ON d.g = p.g AND d.vec_id = p.vec_id AND d.cid = c.cid),
+        {out} AS (SELECT g, vec_id, cid, distance FROM (SELECT *, row_number() OVER (PARTITION BY g, vec_id ORDER BY round(distance, 9), cid) AS r FROM {out}_r) WHERE r = 1)"""
+
+
+def _update_sql(points: str, assigned: str, centers: str, out: str) -> str:
+    return f"""{out}_n AS (SELECT g, cid, count(*) AS size FROM {assigned} GROUP BY 1, 2), {out}_s AS (SELECT p.g, cid, idx, sum(val) AS s FROM {points} p JOIN {assigned} a USING (g, vec_id) GROUP BY 1, 2, 3),
+        {out} AS (SELECT c.g, c.cid, c.idx, CASE WHEN size IS NULL THEN c.val ELSE coalesce(s, 0.0) / size END AS val FROM {centers} c LEFT JOIN {out}_n n ON n.g = c.g AND n.cid = c.cid LEFT JOIN {out}_s t ON t.g = c.g AND t.cid = c.cid AND t.idx = c.idx)"""
+
+
+def _split_sql(source: str, parts: int, out: str, key: str = "vec_id") -> str:
+    return f"""{out} AS (SELECT {key}, idx, val, (CASE WHEN p < (n % {parts}) * (n // {parts} + 1) THEN p // (n // {parts} + 1) ELSE n % {parts} + (p - (n % {parts}) * (n // {parts} + 1)) // greatest(n // {parts}, 1) END)::INTEGER AS g
+        FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY idx) - 1 AS p, count(*) OVER (PARTITION BY {key}) AS n FROM {source}))"""
+
+
+ONE = "pts AS (SELECT 0 AS g, * FROM purchase)"
+STEP1 = f"{ONE}, {_init_sql('pts', 'c0', CLUSTERS)}, {_assign_sql('pts', 'c0', 'a0')}, {_update_sql('pts', 'a0', 'c0', 'c1')}"
+
+
+def _one(spark, sf):
+    return src.purchase(spark, sf).withColumn("g", F.lit(0))
+
+
+@query("kmeans_assign", f"WITH {PURCHASE}, {ONE}, {_init_sql('pts', 'c0', CLUSTERS)}, {_assign_sql('pts', 'c0', 'a0')} SELECT vec_id, cid::INTEGER AS cid, round(distance, 6) + 0.0 AS distance FROM a0")
+def kmeans_assign(spark, sf):
+    p = _one(spark, sf)
+    return rounded(kmeans.assign(p, kmeans.initial(p, CLUSTERS)), "distance").drop("g")
+
+
+@query("kmeans_1step", f"WITH {PURCHASE}, {STEP1} SELECT cid::INTEGER AS cid, idx, round(val, 6) + 0.0 AS val FROM c1")
+def kmeans_1step(spark, sf):
+    return rounded(kmeans.lloyd(_one(spark, sf), CLUSTERS, 1, 0.0), "val").drop("g")
+
+
+@query("kmeans_3step", f"WITH {PURCHASE}, {STEP1}, {_assign_sql('pts', 'c1', 'a1')}, {_update_sql('pts', 'a1', 'c1', 'c2')}, {_assign_sql('pts', 'c2', 'a2')}, {_update_sql('pts', 'a2', 'c2', 'c3')} SELECT cid::INTEGER AS cid, idx, round(val, 6) + 0.0 AS val FROM c3")
+def kmeans_3step(spark, sf):
+    return rounded(kmeans.lloyd(_one(spark, sf), CLUSTERS, 3, 0.0), "val").drop("g")
+
+
+BOOKS = f"{_split_sql('purchase', PARTS, 'pts')}, {_init_sql('pts', 'c0', CLUSTERS)}, {_assign_sql('pts', 'c0', 'a0')}, {_update_sql('pts', 'a0', 'c0', 'c1')}, {_assign_sql('pts', 'c1', 'codes')}"
+
+
+@query("pq_split", f"WITH {PURCHASE}, {_split_sql('purchase', PARTS, 'pts')} SELECT vec_id, idx, val, g AS m FROM pts")
+def pq_split(spark, sf):
+    return split_by_position(src.purchase(spark, sf), PARTS)
+
+
+@query("pq_codes", f"WITH {PURCHASE}, {BOOKS} SELECT vec_id, g, cid::INTEGER AS cid FROM codes")
+def pq_codes(spark, sf):
+    v = src.purchase(spark, sf)
+    return pq.encode(v, pq.train(v, PARTS, CLUSTERS, 1, 0.0), PARTS)
+
+
+@query("pq_knn", f"""WITH {PURCHASE}, {BOOKS}, t_d AS (SELECT p.g, vec_id AS query_id, cid, sum(p.val * c.val) AS dot FROM pts p JOIN c1 c USING (g, idx) WHERE vec_id % 100 = 0 GROUP BY 1, 2, 3),
+    t_p AS (SELECT g, vec_id AS query_id, sum(val * val) AS qn2 FROM pts WHERE vec_id % 100 = 0 GROUP BY 1, 2), t_c AS (SELECT g, cid, sum(val * val) AS bn2 FROM c1 GROUP BY 1, 2),
+    t AS (SELECT p.g, p.query_id, c.cid, sqrt(greatest(qn2 + bn2 - 2 * coalesce(dot, 0.0), 0.0)) AS d FROM t_p p JOIN t_c c USING (g) LEFT JOIN t_d ON t_d.g = p.g AND t_d.query_id = p.query_id AND t_d.cid = c.cid),
+    s AS (SELECT query_id, vec_id, sum(d) AS d FROM codes JOIN t USING (g, cid) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM s)
+    SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rnk <= {K}""")
+def pq_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    books = pq.train(v, PARTS, CLUSTERS, 1, 0.0)
+    return rounded(pq.search(pq.encode(v, books, PARTS), every_hundredth(v), books, PARTS, K), "distance")
+
+
+@query("ivf_coarse", f"WITH {PURCHASE}, {STEP1}, {_assign_sql('pts', 'c1', 'a1')} SELECT cid::INTEGER AS list, count(*) AS n FROM a1 GROUP BY 1")
+def ivf_coarse(spark, sf):
+    p = _one(spark, sf)
+    return kmeans.assign(p, kmeans.lloyd(p, CLUSTERS, 1, 0.0)).groupBy(F.col("cid").alias("list")).agg(F.count("*").alias("n"))
+
+
+@query("ivfpq_knn")
+def ivfpq_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    index = create_index("ivfpq", "euclidean", parts=PARTS, clusters=CLUSTERS, coarse=6, iterations=1, nprobe=3).fit(v)
+    return rounded(index.search(every_hundredth(v), K), "distance")
+
+
+# --- trees and graphs -------------------------------------------------------------
+
+
+@query("tree_knn")
+def tree_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    return rounded(create_index("annoy", "cosine", trees=4, max_points=200).fit(v).search(every_hundredth(v), K), "distance")
+
+
+@query("tree_split", f"""{pairs_sql("true").replace("CROSS JOIN norms b", "JOIN piv ON true JOIN norms b ON b.vec_id = piv.vec_id").replace("p AS (", f"piv AS (SELECT vec_id, row_number() OVER (ORDER BY (({coefficients(1, 1)[1]}::BIGINT * (({hash_sql('vec_id + 1', 1, 1)} + 104729) % {PRIME}) + {coefficients(1, 1)[0]}) % {PRIME}), vec_id) AS side FROM norms QUALIFY side <= 2), p AS (").replace("SELECT a.vec_id AS query_id, b.vec_id", "SELECT piv.side, a.vec_id AS query_id, b.vec_id")},
+    d AS (SELECT query_id, side, round({distance_sql("cosine")}, 9) AS d FROM p), t AS (SELECT query_id AS vec_id, max(CASE WHEN side = 1 THEN d END) AS d1, max(CASE WHEN side = 2 THEN d END) AS d2 FROM d GROUP BY 1)
+    SELECT vec_id, (2 + CASE WHEN d1 < d2 THEN 0 ELSE 1 END)::BIGINT AS node FROM t""")
+def tree_split(spark, sf):
+    v = src.purchase(spark, sf)
+    at = v.select("vec_id").distinct().withColumns({"tree": F.lit(0), "node": F.lit(1).cast("long")})
+    return trees.route(at, v, trees.pivots(at, 1), v, "cosine").select("vec_id", "node")
+
+
+EDGES = f"""{pairs_sql("vec_id % 10 = 0").replace("CROSS JOIN norms b", "CROSS JOIN (SELECT * FROM norms WHERE vec_id % 10 = 0) b")}, d AS (SELECT query_id, vec_id, {distance_sql("cosine")} AS d FROM p WHERE query_id <> vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d), one AS (SELECT query_id AS src, vec_id AS dst FROM r WHERE rnk <= 5)"""
+
+
+@query("nsw_edges", f"{EDGES} SELECT src, dst FROM one UNION SELECT dst, src FROM one")
+def nsw_edges(spark, sf):
+    return graph.edges(src.purchase(spark, sf).filter("vec_id % 10 = 0"), 5, "cosine")
+
+
+@query("nsw_knn")
+def nsw_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    return rounded(create_index("nsw", "cosine", m=16, ef=50, hops=4).fit(v).search(every_hundredth(v), K), "distance")
+
+
+@query("hnsw_knn")
+def hnsw_knn(spark, sf):
+    v = src.purchase(spark, sf)
+    return rounded(create_index("hnsw", "cosine", m=16, max_layers=4, ef=50, hops=4).fit(v).search(every_hundredth(v), K), "distance")
+
+
+def _level_sql() -> str:
+    hits = [f"{hash_sql(hash_sql('vec_id + 1', 1, 2 * j), 1, 2 * j + 1)} < {int(0.5 * PRIME)}" for j in range(6)]
+    return "CASE " + " ".join(f"WHEN NOT ({h}) THEN {j}" for j, h in enumerate(hits)) + " ELSE 6 END"
+
+
+@query("hnsw_levels", f"SELECT c_custkey AS vec_id, ({_level_sql().replace('vec_id', 'c_custkey')})::INTEGER AS level FROM customer")
+def hnsw_levels(spark, sf):
+    return graph.levels(src.table(spark, sf, "customer").select(F.col("c_custkey").alias("vec_id")), 0.5, 6)
+
+
+# --- evaluation, generator, persistence -----------------------------------------
+
+
+@query("recall_at_k", f"WITH t AS ({knn_sql('jaccard')}), r AS ({_lsh_sql(MINHASH)}), h AS (SELECT t.query_id, count(*) AS hits FROM t JOIN r USING (query_id, vec_id) GROUP BY 1) SELECT t.query_id, coalesce(any_value(hits), 0) AS hits, round(coalesce(any_value(hits), 0) / count(*), 6) + 0.0 AS recall, round(coalesce(any_value(hits), 0) / {K}, 6) + 0.0 AS precision, round(CASE WHEN coalesce(any_value(hits), 0) = 0 THEN 0.0 ELSE 2.0 * any_value(hits) / (count(*) + {K}) END, 6) + 0.0 AS f1 FROM t LEFT JOIN h USING (query_id) GROUP BY 1")
+def recall_at_k(spark, sf):
+    v = src.purchase(spark, sf)
+    q = every_hundredth(v)
+    return rounded(metrics.quality(lsh.lsh_knn(v, q, K, "jaccard", "minhash", BUCKETS, HASHES), knn.knn(v, q, K, "jaccard"), K), "recall", "precision", "f1")
+
+
+@query("scalability_lag", "WITH r(dataset_size, dims, qps) AS (VALUES (1000, 10, 100.0::DOUBLE), (2000, 10, 210.0), (4000, 20, 50.0)), p AS (SELECT *, lag(qps) OVER w AS q, lag(dataset_size) OVER w AS s, lag(dims) OVER w AS m FROM r WINDOW w AS (ORDER BY dataset_size)) SELECT dataset_size, dims, qps, qps / (q / ((dataset_size / s) * (dims / m))) AS scalability_factor FROM p")
+def scalability_lag(spark, sf):
+    return metrics.scalability(spark.createDataFrame([(1000, 10, 100.0), (2000, 10, 210.0), (4000, 20, 50.0)], "dataset_size int, dims int, qps double"))
+
+
+@query("metric_spread", "SELECT o_orderpriority AS grp, max(o_totalprice) AS hi, min(o_totalprice) AS lo, arg_max(o_orderkey, o_totalprice) AS hi_label, arg_min(o_orderkey, o_totalprice) AS lo_label, round(max(o_totalprice) - min(o_totalprice), 6) + 0.0 AS spread FROM orders GROUP BY 1")
+def metric_spread(spark, sf):
+    return rounded(metrics.spread(src.table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "grp"), "grp", "o_orderkey", "o_totalprice"), "spread")
+
+
+def _gen_sql(dim: int, count: int, sparsity: float, seed: int) -> str:
+    return f"""SELECT v AS vec_id, i::INTEGER AS idx, round({hash_sql("m", seed, 13)} / {float(PRIME)}, 6) + 0.0 AS val FROM (SELECT v, i, {hash_sql("v * 1000003 + i * 7919 + 1", seed, 11)} AS m FROM range({count}) a(v), range({dim}) b(i))
+        WHERE {hash_sql("m", seed, 12)} < {int((1 - sparsity) * PRIME)}"""
+
+
+@query("gen_vectors", _gen_sql(500, 300, 0.96, 42))
+def gen_vectors(spark, sf):
+    return rounded(src.generate(spark, 500, 300), "val")
+
+
+@query("gen_groundtruth")
+def gen_groundtruth(spark, sf):
+    v = src.generate(spark, 500, 300)
+    return rounded(knn.knn(v, src.generate(spark, 500, 30, seed=1042).withColumnRenamed("vec_id", "query_id"), K, "euclidean"), "distance").select("query_id", "rnk", "vec_id", "distance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
