@@ -44,7 +44,9 @@ from .frames import cut, narrow
 from .textkit import U64, chunks, lowered, mix, shingle_hashes, shingle_set, word_hashes, words
 
 SHINGLE = 5
+#: Groups of a point, and those of the finer point that pairs are bounded by before their sets are fetched.
 GROUPS = 64
+FINE = 512
 FANOUT = 16
 #: Cells of each row of the sketch, 4 bytes each: a fixed size, sent to every task.
 SKETCH = 1 << 17
@@ -80,16 +82,26 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros((2, SKETCH), np.int32)
     task = TaskContext.get().partitionId()
     for batch in batches:
-        ids, out = batch.column("doc_id").to_pylist(), []
+        ids, out, held, size = batch.column("doc_id").to_pylist(), [], [], 0
         for row, s in sets(batch.column("text")):
-            out.append((0, ids[row], len(s), set_key(s), np.bincount((s >> U64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes(), task))
-            for k, cell in enumerate(_cells(s)):
-                np.add.at(sketch[k], cell, 1)
+            out.append((0, ids[row], len(s), set_key(s), np.bincount((s >> U64(55)).astype(np.int64), minlength=FINE).astype(np.uint32).tobytes(), task))
+            held.append(s)
+            size += len(s)
+            if size > 1 << 18:
+                _tally(sketch, held)
+                held, size = [], 0
+        _tally(sketch, held)
         yield _rows(out)
     parts = sketch.reshape(_SLICES, -1)
     yield _rows([(1, None, k, 0, parts[k].tobytes(), task) for k in range(_SLICES)])
 
 
+def _tally(sketch: np.ndarray, held: list[np.ndarray]) -> None:
+    if held:
+        for k, cell in enumerate(_cells(np.concatenate(held))):
+            sketch[k] += np.bincount(cell, minlength=SKETCH).astype(np.int32)
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, types)], names=["kind", "doc_id", "n", "cls", "point", "task"])
@@ -195,7 +207,7 @@ def _tree_pairs(table: pa.Table) -> pa.Table:
     """Pairs of different components in a subtree that the tree can't exclude."""
     cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
     side, sizes = table.column("side").to_numpy(), table.column("n").to_numpy()
-    points = np.frombuffer(b"".join(x.as_py() for x in table.column("point")), np.uint32).reshape(-1, GROUPS)
+    points = np.frombuffer(b"".join(x.as_py() for x in table.column("coarse")), np.uint32).reshape(-1, GROUPS)
     if side.max() == 0:
         a, b = CountTree(points, sizes).pairs()
     else:
@@ -213,12 +225,18 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes whose points' summed minima reach the threshold."""
     for batch in batches:
         if batch.num_rows:
-            pa_, pb = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), np.uint32).reshape(-1, GROUPS) for c in ("pa", "pb"))
+            pa_, pb = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), np.uint32).reshape(-1, FINE) for c in ("pa", "pb"))
             bound = np.minimum(pa_, pb).sum(1, dtype=np.int64)
             keep = 9 * bound >= 4 * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = np.frombuffer(b"".join(x.as_py() for x in batch.column("point")), np.uint32).reshape(-1, GROUPS, FINE // GROUPS)
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array([x.tobytes() for x in fine.sum(2, dtype=np.uint32)], pa.binary())], names=["cls", "n", "coarse"])
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [(set_key(s), s.tobytes()) for _, s in sets(batch.column("text"))]
@@ -263,18 +281,19 @@ def similar(docs: DataFrame) -> DataFrame:
     heads = subtrees.filter("parts > 1").groupBy("shingle").agg(F.min(F.col("list")[0]).alias("a")).join(subtrees.filter("parts > 1").select("shingle", F.col("list")[0].alias("b")), "shingle").select("a", "b")
     point = classes.select("cls", "n", "point")
     at = lambda c: point.withColumnsRenamed({"cls": c, "n": f"n{c}", "point": f"p{c}"})
-    near = star.unionByName(heads).filter("a < b").distinct().join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
-    links = cut(_verified(cut(near.mapInArrow(_bounded, "a long, b long")), docs, classes))
+    bounded = lambda pairs: cut(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long"))
+    links = cut(_verified(bounded(star.unionByName(heads).filter("a < b").distinct()), docs, classes))
     first = cut(components(links, "a", "b"))
     # step 4
     members = subtrees.select("shingle", "part", "parts", F.explode("list").alias("cls")).join(first, F.col("cls") == F.col("node"), "left").select("shingle", "part", "parts", "cls", F.coalesce("component", "cls").alias("comp"))
     mixed = members.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
+    coarse = point.mapInArrow(_coarse, "cls long, n long, coarse binary")
     # a subtree in k parts is compared part by part with itself and every other
     pair = F.when(F.col("parts") == 1, F.array(F.struct(F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("p"), F.greatest(F.col("part"), o).alias("q"), F.when(F.col("part") == o, 0).when(F.col("part") < o, 1).otherwise(2).alias("side")))
     )
-    spread = members.join(mixed, "shingle").join(point, "cls").withColumn("x", F.explode(pair)).select("shingle", "x.p", "x.q", "x.side", "cls", "comp", "n", "point")
-    rest = cut(spread.groupBy("shingle", "p", "q").applyInArrow(_tree_pairs, "a long, b long").distinct())
+    spread = members.join(mixed, "shingle").join(coarse, "cls").withColumn("x", F.explode(pair)).select("shingle", "x.p", "x.q", "x.side", "cls", "comp", "n", "coarse")
+    rest = bounded(spread.groupBy("shingle", "p", "q").applyInArrow(_tree_pairs, "a long, b long").distinct())
     more = cut(_verified(rest, docs, classes))
     last = components(links.unionByName(more), "a", "b")
     named = last.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("cls", "component", "rep")
