@@ -146,7 +146,8 @@ def repeated_windows(docs: DataFrame, units: Callable, length: int) -> DataFrame
     runs = cut(keyed.mapInArrow(_runs(units, length, k), "kh long, uh long, doc_id long, th long, at int, left int, right int"))
     whole = narrow(cut(runs.groupBy("uh").agg(F.count("*").alias("n")).filter("n > 1").select("uh")))
     sure = runs.join(whole, "uh").select("doc_id", "th", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") - F.col("right")).alias("hi"))
-    mixed = narrow(cut(runs.groupBy("kh").agg(F.min("uh").alias("a"), F.max("uh").alias("b"), F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts")).filter("a <> b").select("kh", "parts")))
+    # copies of a string are one row below, so a group is dealt by how many different ones it has
+    mixed = narrow(cut(runs.groupBy("kh").agg(F.min("uh").alias("a"), F.max("uh").alias("b"), F.ceil(F.approx_count_distinct("uh") / GROUP_ROWS).cast("int").alias("parts")).filter("a <> b").select("kh", "parts")))
     one = runs.join(mixed, "kh").groupBy("kh", "uh", "parts").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "left", "right")).alias("r"))
     asked = cut(
         one.select("r.doc_id", "r.th", F.struct("kh", F.pmod(F.hash("uh"), F.col("parts")).alias("salt"), "parts", "n", "r.at", "r.left", "r.right").alias("x"))
