@@ -19,7 +19,7 @@ def metric(name: str) -> str:
 
 
 def cosine_similarity(dot: Column, qn2: Column, bn2: Column) -> Column:
-    return F.when((qn2 == 0) | (bn2 == 0), F.lit(0.0)).otherwise(dot / (F.sqrt(qn2) * F.sqrt(bn2)))
+    return F.when((qn2 == 0) | (bn2 == 0), F.lit(0.0)).otherwise(dot / F.sqrt(qn2 * bn2))  # exactly 1 for a vector and itself; squares of single floats fit
 
 
 def jaccard_similarity(inter: Column, qnnz: Column, bnnz: Column) -> Column:
