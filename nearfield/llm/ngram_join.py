@@ -70,6 +70,20 @@ def set_key(s: np.ndarray) -> int:
     return int(np.bitwise_xor(np.sum(mix(s)), mix(np.array([len(s)], U64))[0]).view(np.int64)) if len(s) else 0
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """A point's counts as the narrowest unsigned integers that hold its largest."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def unpack(column: pa.Array, groups: int) -> np.ndarray:
+    """The packed points of a column, one row each."""
+    out = np.zeros((len(column), groups), np.uint32)
+    for i, x in enumerate(column):
+        raw = x.as_buffer()
+        out[i] = np.frombuffer(raw, f"u{raw.size // groups}")
+    return out
+
+
 def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s & U64(SKETCH - 1)).astype(np.int64), ((s >> U64(20)) & U64(SKETCH - 1)).astype(np.int64)
 
@@ -84,7 +98,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, out, held, size = batch.column("doc_id").to_pylist(), [], [], 0
         for row, s in sets(batch.column("text")):
-            out.append((0, ids[row], len(s), set_key(s), np.bincount((s >> U64(55)).astype(np.int64), minlength=FINE).astype(np.uint32).tobytes(), task))
+            out.append((0, ids[row], len(s), set_key(s), pack(np.bincount((s >> U64(55)).astype(np.int64), minlength=FINE)), task))
             held.append(s)
             size += len(s)
             if size > 1 << 18:
@@ -207,7 +221,7 @@ def _tree_pairs(table: pa.Table) -> pa.Table:
     """Pairs of different components in a subtree that the tree can't exclude."""
     cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
     side, sizes = table.column("side").to_numpy(), table.column("n").to_numpy()
-    points = np.frombuffer(b"".join(x.as_py() for x in table.column("coarse")), np.uint32).reshape(-1, GROUPS)
+    points = unpack(table.column("coarse"), GROUPS)
     if side.max() == 0:
         a, b = CountTree(points, sizes).pairs()
     else:
@@ -225,7 +239,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes whose points' summed minima reach the threshold."""
     for batch in batches:
         if batch.num_rows:
-            pa_, pb = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), np.uint32).reshape(-1, FINE) for c in ("pa", "pb"))
+            pa_, pb = (unpack(batch.column(c), FINE) for c in ("pa", "pb"))
             bound = np.minimum(pa_, pb).sum(1, dtype=np.int64)
             keep = 9 * bound >= 4 * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -233,8 +247,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fine = np.frombuffer(b"".join(x.as_py() for x in batch.column("point")), np.uint32).reshape(-1, GROUPS, FINE // GROUPS)
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array([x.tobytes() for x in fine.sum(2, dtype=np.uint32)], pa.binary())], names=["cls", "n", "coarse"])
+        fine = unpack(batch.column("point"), FINE).reshape(-1, GROUPS, FINE // GROUPS)
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array([pack(x) for x in fine.sum(2, dtype=np.uint32)], pa.binary())], names=["cls", "n", "coarse"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

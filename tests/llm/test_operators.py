@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,13 @@ def test_ngram_join(docs, plain):
     assert got == {i: (len(s[i]), root(i)) for i in s}
 
 
+def test_packed_points_keep_their_counts():
+    rows = [np.zeros(4, np.int64), np.array([255, 0, 1, 2]), np.array([256, 0, 1, 2]), np.array([70_000, 3, 0, 65_535])]
+    packed = pa.array([ngram_join.pack(x) for x in rows], pa.binary())
+    assert [len(x.as_py()) for x in packed] == [4, 4, 8, 16]
+    assert (ngram_join.unpack(packed.slice(1), 4) == rows[1:]).all() and ngram_join.unpack(packed, 4).shape == (4, 4)
+
+
 def test_count_tree_keeps_every_pair_that_may_reach_the_threshold():
     rng = np.random.default_rng(2)
     base = rng.poisson(6, (12, ngram_join.GROUPS))
