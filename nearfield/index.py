@@ -36,8 +36,15 @@ class Index(ABC):
     @abstractmethod
     def search(self, queries: DataFrame, k: int) -> DataFrame: ...
 
+    def _tables(self) -> dict[str, DataFrame]:
+        """What _build made, by name."""
+        return {}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        """The reverse of _tables."""
+
     def save(self, path: str) -> None:
-        store.save({"vectors": self.vectors}, {"kind": self.kind, "metric": self.metric, "params": self.params}, path)
+        store.save({"vectors": self.vectors} | self._tables(), {"kind": self.kind, "metric": self.metric, "params": self.params}, path)
 
 
 class LinScan(Index):
@@ -60,6 +67,12 @@ class Annoy(Index):
     def _build(self) -> None:
         self.forest = trees.Forest.fit(self.vectors, self.params.get("trees", 10), self.params.get("max_points", 20), self.metric, self.params.get("seed", 1))
 
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"leaves": self.forest.leaves} | {f"level{i}": df for i, df in enumerate(self.forest.levels)}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        self.forest = trees.Forest([tables[f"level{i}"] for i in range(sum(t.startswith("level") for t in tables))], tables["leaves"], self.metric)
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return self.forest.search(self.vectors, queries, k)
 
@@ -73,6 +86,12 @@ class Pq(Index):
         self.books = pq.train(self.vectors, self.parts, p.get("clusters", 50), p.get("iterations", 8), p.get("tolerance", 0.01), p.get("seed", 1), self.metric)
         self.codes = store.cut(pq.encode(self.vectors, self.books, self.parts, self.metric))
 
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"books": self.books, "codes": self.codes}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        self.parts, self.books, self.codes = self.params.get("parts", 3), tables["books"], tables["codes"]
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return pq.search(self.codes, queries, self.books, self.parts, k, self.metric)
 
@@ -84,6 +103,12 @@ class IvfPq(Index):
         p = self.params
         self.inverted = pq.Inverted.fit(self.vectors, p.get("parts", 3), p.get("clusters", 50), p.get("coarse", 16), p.get("iterations", 8), p.get("tolerance", 0.01), p.get("seed", 1), self.metric)
 
+    def _tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self.inverted, name) for name in ("coarse", "lists", "codebooks", "codes")}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        self.inverted = pq.Inverted(*(tables[name] for name in ("coarse", "lists", "codebooks", "codes")), self.params.get("parts", 3), self.metric)
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return self.inverted.search(queries, k, self.params.get("nprobe"))
 
@@ -94,6 +119,12 @@ class Nsw(Index):
     def _build(self) -> None:
         self.links = store.cut(graph.edges(self.vectors, self.params.get("m", 16), self.metric))
 
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"links": self.links}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        self.links = tables["links"]
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         from pyspark.sql import functions as F
 
@@ -109,6 +140,12 @@ class Hnsw(Index):
         p = self.params
         self.layers = graph.Layered.fit(self.vectors, p.get("m", 16), self.metric, p.get("factor", 0.5), p.get("max_layers", 6), p.get("seed", 1))
 
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"levels": self.layers.of} | {f"layer{n}": df for n, df in self.layers.links.items()}
+
+    def _restore(self, tables: dict[str, DataFrame]) -> None:
+        self.layers = graph.Layered(tables["levels"], {int(t.removeprefix("layer")): df for t, df in tables.items() if t.startswith("layer")}, self.metric)
+
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return self.layers.search(self.vectors, queries, k, self.params.get("ef", 50), self.params.get("hops", 3))
 
@@ -126,5 +163,9 @@ def create_index(name: str, metric_name: str = "cosine", **params) -> Index:
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
+    """A saved index, ready to search: nothing is fitted again."""
     tables, meta = store.load(spark, path)
-    return KINDS[meta["kind"]](meta["metric"], **meta["params"]).fit(tables["vectors"])
+    index = KINDS[meta["kind"]](meta["metric"], **meta["params"])
+    index.vectors = tables["vectors"]
+    index._restore(tables)
+    return index

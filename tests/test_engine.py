@@ -3,17 +3,22 @@
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield import benchmark
 from nearfield.functions import metrics
 from nearfield.functions.distances import METRICS, metric
 from nearfield.functions.vectors import from_arrays, norms, split_by_position, to_arrays
 from nearfield.index import create_index, load_index
 from nearfield.operators import graph, kmeans, knn, lsh
+from nearfield.plans import measure
+from nearfield.sources import files
 from nearfield.sources import vectors as src
+from nearfield.streaming.search import search_stream
 
 LONG = "vec_id long, idx int, val double"
 
@@ -153,3 +158,85 @@ def test_names_are_checked(spark):
     with pytest.raises(ValueError):
         knn.knn(frame(spark, SIMPLE), knn.as_queries(frame(spark, SIMPLE), "vec_id = 0"), 0)
     assert norms(frame(spark, SIMPLE), spark.range(7).select(F.col("id").alias("vec_id"))).count() == 7
+
+
+def pack(x) -> bytes:
+    """MessagePack of lists, dicts, short strings, integers and floats."""
+    if isinstance(x, list):
+        return struct.pack(">BH", 0xDC, len(x)) + b"".join(map(pack, x))
+    if isinstance(x, dict):
+        return bytes([0x80 | len(x)]) + b"".join(pack(k) + pack(v) for k, v in x.items())
+    if isinstance(x, str):
+        return bytes([0xA0 | len(x)]) + x.encode()
+    return struct.pack(">Bd", 0xCB, x) if isinstance(x, float) else bytes([x]) if x < 128 else struct.pack(">BI", 0xCE, x)
+
+
+def test_msgpack_files(spark, tmp_path):
+    (tmp_path / "data.msgpack").write_bytes(pack([{"indices": [3, 70000], "values": [0.5, 2.0]}, {"indices": [], "values": []}, {"indices": [1], "values": [1.5]}]))
+    (tmp_path / "truth.msgpack").write_bytes(pack([[7, 300], [2]]))
+    assert sorted(tuple(r)[1:] for r in files.read_msgpack(spark, str(tmp_path / "data.msgpack")).collect()) == [(0, 3, 0.5), (0, 70000, 2.0), (2, 1, 1.5)]
+    assert sorted(tuple(r)[1:] for r in files.read_msgpack_truth(spark, str(tmp_path / "truth.msgpack")).collect()) == [(0, 1, 7), (0, 2, 300), (1, 1, 2)]
+    kinds = b"\x97\xc0\xc3\xff\xd1\xff\x00\xca\x3f\x80\x00\x00\xc4\x01x\xd9\x01y"
+    assert files.MessagePack(memoryview(kinds)).value() == [None, True, -1, -256, 1.0, b"x", "y"]
+    with pytest.raises(ValueError):
+        files.MessagePack(memoryview(b"\xd4\x01\x00")).value()
+
+
+def test_bincode_files_and_data_sets(spark, tmp_path):
+    vector = lambda i, v: struct.pack(f"<Q{len(i)}QQ{len(v)}f", len(i), *i, len(v), *v)
+    data = struct.pack("<Q", 2) + vector([1, 5], [0.5, 1.5]) + vector([], []) + struct.pack("<Q", 1) + vector([5], [2.0]) + struct.pack("<QQ2Q", 1, 2, 0, 1)
+    (tmp_path / "x.bin").write_bytes(data)
+    got = files.read_bincode(spark, str(tmp_path / "x.bin"))
+    want = [[(0, 1, 0.5), (0, 5, 1.5)], [(0, 5, 2.0)], [(0, 1, 0), (0, 2, 1)]]
+    assert [sorted(tuple(r)[1:] for r in df.collect()) for df in got] == want
+    files.save_dataset(*got, f"file://{tmp_path}/set")
+    assert [sorted(tuple(r)[1:] for r in df.collect()) for df in files.load_dataset(spark, f"file://{tmp_path}/set")] == want
+
+
+@pytest.mark.parametrize("kind", ["lsh-simhash", "annoy", "pq", "ivfpq", "nsw", "hnsw"])
+def test_saved_indexes_answer_alike(spark, tmp_path, kind):
+    v = src.generate(spark, 40, 60, sparsity=0.7)
+    params = {"pq": {"clusters": 8, "iterations": 1}, "ivfpq": {"clusters": 4, "coarse": 3, "iterations": 1}, "annoy": {"trees": 2, "max_points": 20}, "nsw": {"m": 4}, "hnsw": {"m": 4, "max_layers": 1}}.get(kind, {})
+    index, q = create_index(kind, "cosine", **params).fit(v), knn.as_queries(v, "vec_id < 3")
+    index.save(f"file://{tmp_path}/i")
+    assert sorted(map(tuple, load_index(spark, f"file://{tmp_path}/i").search(q, 3).collect())) == sorted(map(tuple, index.search(q, 3).collect()))
+
+
+def test_benchmark_and_csv(spark, tmp_path):
+    sweep = benchmark.Sweep(sparsity=0.8)
+    assert list(sweep.configurations())[:2] == [(10_000, 1_000), (20_000, 2_000)] and len(list(sweep.configurations())) == 5
+    vectors, queries, truth = benchmark.synthetic(spark, 50, 40, sweep)
+    build, run = benchmark.measure(spark, create_index("linscan", "cosine"), vectors, queries, truth, 50, f"file://{tmp_path}/index")
+    assert (run.recall, run.precision, run.f1_score) == (1, 1, 1) and run.index_disk_space > 0 and build.consumed_memory > 0
+    benchmark.write_csv(spark, [benchmark.Build(10.0, 1000, 128, 1.0, 1.0)], benchmark.Build, f"file://{tmp_path}/b.csv")
+    (csv,) = (tmp_path / "b.csv").glob("part-*.csv")
+    assert csv.read_text().split() == ["execution_time,dataset_size,dataset_dimensionality,consumed_memory,consumed_cpu", "10.0,1000,128,1.0,1.0"]
+    assert benchmark.scalability_factor(210.0, 2000, 10, benchmark.Run(*[0.0] * 1, 1000, 10, *[0.0] * 3, None, 100.0, *[0.0] * 7)) == pytest.approx(4.2)
+
+
+def test_deadline(spark):
+    slow = lambda: spark.range(8).select(F.expr("java_method('java.lang.Thread', 'sleep', 20000L)")).collect()
+    began = time.perf_counter()
+    assert measure.with_timeout(spark, slow, 1) is None and time.perf_counter() - began < 15
+    assert measure.with_timeout(spark, lambda: spark.range(5).count(), 60) == 5
+    with pytest.raises(ZeroDivisionError):
+        measure.with_timeout(spark, lambda: 1 / 0, 60)
+
+
+def test_stream_of_queries(spark, tmp_path):
+    v = frame(spark, SIMPLE)
+    index = create_index("linscan", "euclidean").fit(v)
+    spark.createDataFrame([(0, [0, 2], [9.0, 10.0]), (1, [0, 2], [5.0, 6.0])], "query_id long, indices array<int>, `values` array<float>").write.parquet(f"file://{tmp_path}/in")
+    asked = spark.readStream.schema("query_id long, indices array<int>, `values` array<float>").parquet(f"file://{tmp_path}/in")
+    search_stream(index, asked, 1, f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.query_id, r.vec_id) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [(0, 4), (1, 2)]
+
+
+@pytest.mark.parametrize("kind,params,least", [("annoy", {"trees": 10, "max_points": 60}, 0.3), ("nsw", {"m": 16}, 0.9), ("hnsw", {"m": 16, "max_layers": 3}, 0.9)])
+def test_recall_against_exact_search(spark, kind, params, least):
+    v = src.generate(spark, 60, 400, sparsity=0.8)
+    q = knn.as_queries(v, "vec_id % 40 = 0")
+    got = create_index(kind, "cosine", **params).fit(v).search(q, 10)
+    recall = metrics.quality(got, knn.knn(v, q, 10, "cosine"), 10).agg(F.avg("recall")).first()[0]
+    print(kind, recall)
+    assert recall >= least
