@@ -5,9 +5,10 @@ words has a weighted Jaccard similarity of THRESHOLD or more to it; shingles
 are five consecutive lower-cased words, weighted by how often they occur in the
 window or item.
 
-1. Windows that share no shingle with any item have similarity 0 and need no
-   fingerprint. For every shared shingle the window that aligns its two places
-   is taken (moved inside the document at its ends).
+1. A window of weight a and an item of weight b that reach THRESHOLD share a
+   weight of 4/9 (a + b) or more, so at least so many of the window's places
+   hold a shingle of the item. Every start whose window passes this count is
+   taken, wherever the shingles lie in the item; the others need no fingerprint.
 2. Windows and items get a 64-bit SimHash over their weighted shingles.
 3. Fingerprints are cut into 5 blocks. Two that differ in at most RADIUS = 19
    bits differ in at most 3 bits in some block, so an index of the items under
@@ -89,6 +90,27 @@ def hamming_pairs(left: DataFrame, right: DataFrame, also: str, radius: int = RA
     return sides.join(spread, ["key", also]).filter(close).drop("key", "fp", "fp2").distinct()
 
 
+def _starts() -> Column:
+    """The starts of all windows with enough places of an item's shingles, from ps (those places in order), n and item_n.
+
+    The i-th to the (i + least - 1)-th place lie in one window for a range of
+    starts; the part of it beyond the previous place's range is taken, so that
+    no start comes twice.
+    """
+    weight = lambda n: F.greatest(n - (SHINGLE - 1), F.lit(1))
+    size = weight(F.least("n", "item_n"))
+    least = F.ceil((size + weight(F.col("item_n"))) * THRESHOLD / (100 + THRESHOLD)).cast("int")
+    last = F.greatest(F.col("n") - F.col("item_n"), F.lit(0))
+
+    def fresh(i: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get("ps", i + least - 1) - size + 1, F.get("ps", i - 1) + 1)
+        high = F.least(F.get("ps", i), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    spare = F.size("ps") - least
+    return F.when(spare >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(spare, F.lit(0))), fresh)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated documents: doc_id, item_id, start (first word of the best window), shared, united (weights)."""
     items = cut(_shingled(benchmark.select("item_id", "text")).filter("n > 0").select("item_id", "n", "s").dropDuplicates(["item_id"]))
@@ -96,8 +118,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     # one row per shingle, of which only those of an item go on (the outer form keeps the optimizer from testing s in a filter of its own)
     found = _shingled(keyed).select("doc_id", "th", "n", F.posexplode_outer("s").alias("pos", "h")).join(narrow(places), "h")
-    window = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("item_n")))
-    starts = found.select("doc_id", "th", F.struct(window.alias("start"), F.col("item_n")).alias("w")).groupBy("doc_id", "th").agg(F.collect_set("w").alias("ws"))
+    at = found.groupBy("doc_id", "th", "n", "item_id", "item_n").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    starts = at.select("doc_id", "th", "item_n", F.explode(_starts()).alias("start")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "item_n")).alias("ws"))
     starts = light(cut(starts), "16 * size(ws) + 32").withColumnsRenamed({"doc_id": "d", "th": "t"})
     some = keyed.join(starts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
     windows = _shingled(some).select("doc_id", "th", "s", F.explode("ws").alias("w")).select("doc_id", "th", "w.start", "w.item_n", F.slice("s", F.col("w.start") + 1, F.greatest(F.col("w.item_n") - (SHINGLE - 1), F.lit(1))).alias("s"))

@@ -86,6 +86,15 @@ def test_decontamination(spark, docs, plain):
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == set(plain) - {i for i, _ in want}
 
 
+def test_decontamination_finds_parts_in_another_order(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    swapped = f"{word(1000, 1200)} {word(30, 60)} {word(0, 30)} {word(2000, 2200)}"
+    docs = spark.createDataFrame([(1, swapped), (2, word(1000, 1400)), (3, f"{word(40, 60)} {word(20, 40)} {word(0, 20)}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, word(0, 60))], "item_id long, text string")
+    # 52 of the window's 56 shingles are shared; with three parts in another order 48 are, 0.75
+    assert [tuple(r) for r in decontam.leaks(docs, bench).collect()] == [(1, 7, 200, 52, 60)]
+
+
 def test_hamming_blocks_find_every_pair_within_the_radius(spark):
     rng = random.Random(1)
     left = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(40)]
