@@ -20,7 +20,8 @@ At similarity 0.8 the expected distance is about 9 bits (standard deviation
 
 Only DataFrame functions are used. Texts or items under five words are one
 shingle of all their words; null and empty ones match nothing. Rows with the
-same doc_id are reported once. A document shorter than an item is one window.
+same doc_id are reported once; so are items with the same item_id, by the best
+window of any of their texts. A null item_id is an id. A document shorter than an item is one window.
 """
 
 from __future__ import annotations
@@ -113,28 +114,30 @@ def _starts() -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated documents: doc_id, item_id, start (first word of the best window), shared, united (weights)."""
-    items = cut(_shingled(benchmark.select("item_id", "text")).filter("n > 0").select("item_id", "n", "s").dropDuplicates(["item_id"]))
-    places = cut(items.select("item_id", F.col("n").alias("item_n"), F.posexplode("s").alias("offset", "h")))
+    # items go by the hash of their text; the ids, which may be null or repeated, are met again at the end
+    items = cut(_shingled(benchmark.select("item_id", "text", F.xxhash64("text").alias("item"))).filter("n > 0").select("item_id", "item", "n", "s"))
+    ids = items.select("item_id", "item").distinct()
+    places = cut(items.dropDuplicates(["item"]).select("item", F.col("n").alias("item_n"), F.posexplode("s").alias("offset", "h")))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     # one row per shingle, of which only those of an item go on (the outer form keeps the optimizer from testing s in a filter of its own)
     found = _shingled(keyed).select("doc_id", "th", "n", F.posexplode_outer("s").alias("pos", "h")).join(narrow(places), "h")
-    at = found.groupBy("doc_id", "th", "n", "item_id", "item_n").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    at = found.groupBy("doc_id", "th", "n", "item", "item_n").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
     starts = at.select("doc_id", "th", "item_n", F.explode(_starts()).alias("start")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "item_n")).alias("ws"))
     starts = light(cut(starts), "16 * size(ws) + 32").withColumnsRenamed({"doc_id": "d", "th": "t"})
     some = keyed.join(starts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
     windows = _shingled(some).select("doc_id", "th", "s", F.explode("ws").alias("w")).select("doc_id", "th", "w.start", "w.item_n", F.slice("s", F.col("w.start") + 1, F.greatest(F.col("w.item_n") - (SHINGLE - 1), F.lit(1))).alias("s"))
     weighted = cut(windows.select("doc_id", "th", "start", "item_n", F.explode("s").alias("h")).groupBy("doc_id", "th", "start", "item_n", "h").agg(F.count("*").alias("c")))
-    item_weights = places.groupBy("item_id", "item_n", "h").agg(F.count("*").alias("c"))
-    near = hamming_pairs(_fingerprint(weighted, "doc_id", "th", "start", "item_n"), _fingerprint(item_weights, "item_id", "item_n"), "item_n")
+    item_weights = places.groupBy("item", "item_n", "h").agg(F.count("*").alias("c"))
+    near = hamming_pairs(_fingerprint(weighted, "doc_id", "th", "start", "item_n"), _fingerprint(item_weights, "item", "item_n"), "item_n")
     total = weighted.groupBy("doc_id", "th", "start", "item_n").agg(F.sum("c").alias("total"))
-    item_total = item_weights.groupBy("item_id").agg(F.sum("c").alias("item_total"))
+    item_total = item_weights.groupBy("item").agg(F.sum("c").alias("item_total"))
     null_safe = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("th") == F.col("t"), F.col("start") == F.col("st"), F.col("item_n") == F.col("i_n")]
     renamed = lambda df: df.withColumnsRenamed({"doc_id": "d", "th": "t", "start": "st", "item_n": "i_n"})
-    shared = near.join(renamed(weighted), null_safe).drop("d", "t", "st", "i_n").join(item_weights.select("item_id", "h", F.col("c").alias("c2")), ["item_id", "h"])
-    shared = shared.groupBy("doc_id", "th", "start", "item_n", "item_id").agg(F.sum(F.least("c", "c2")).alias("shared"))
-    exact = shared.join(renamed(total), null_safe).drop("d", "t", "st", "i_n").join(item_total, "item_id").withColumn("united", F.col("total") + F.col("item_total") - F.col("shared"))
+    shared = near.join(renamed(weighted), null_safe).drop("d", "t", "st", "i_n").join(item_weights.select("item", "h", F.col("c").alias("c2")), ["item", "h"])
+    shared = shared.groupBy("doc_id", "th", "start", "item_n", "item").agg(F.sum(F.least("c", "c2")).alias("shared"))
+    exact = shared.join(renamed(total), null_safe).drop("d", "t", "st", "i_n").join(item_total, "item").withColumn("united", F.col("total") + F.col("item_total") - F.col("shared"))
     exact = exact.filter(F.col("shared") * 100 >= F.col("united") * THRESHOLD)
-    best = exact.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "shared", "united"), F.struct(F.col("shared") / F.col("united"), -F.col("start"))).alias("b"))
+    best = exact.join(ids, "item").groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "shared", "united"), F.struct(F.col("shared") / F.col("united"), -F.col("start"), "shared")).alias("b"))
     return best.select("doc_id", "item_id", "b.start", "b.shared", "b.united")
 
 

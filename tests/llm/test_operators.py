@@ -95,6 +95,15 @@ def test_decontamination_finds_parts_in_another_order(spark):
     assert [tuple(r) for r in decontam.leaks(docs, bench).collect()] == [(1, 7, 200, 52, 60)]
 
 
+def test_decontamination_searches_every_text_of_an_item_id(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    bench = spark.createDataFrame([(1, word(0, 20)), (1, word(100, 130)), (None, word(200, 220)), (None, word(300, 320)), (2, word(0, 20))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, word(0, 50)), (2, word(90, 140)), (3, word(190, 230)), (None, word(300, 320)), (5, word(500, 550))], "doc_id long, text string")
+    want = {(1, 1, 0, 16, 16), (1, 2, 0, 16, 16), (2, 1, 10, 26, 26), (3, None, 10, 16, 16), (None, None, 0, 16, 16)}
+    assert {tuple(r) for r in decontam.leaks(docs, bench).collect()} == want
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [5]
+
+
 def test_hamming_blocks_find_every_pair_within_the_radius(spark):
     rng = random.Random(1)
     left = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(40)]
