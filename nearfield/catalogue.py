@@ -331,13 +331,13 @@ def nsw_edges(spark, sf):
 @query("nsw_knn")
 def nsw_knn(spark, sf):
     v = src.purchase(spark, sf)
-    return rounded(create_index("nsw", "cosine", m=16, ef=50, hops=4).fit(v).search(every_hundredth(v), K), "distance")
+    return rounded(create_index("nsw", "cosine", m=16, ef=50).fit(v).search(every_hundredth(v), K), "distance")
 
 
 @query("hnsw_knn")
 def hnsw_knn(spark, sf):
     v = src.purchase(spark, sf)
-    return rounded(create_index("hnsw", "cosine", m=16, max_layers=4, ef=50, hops=4).fit(v).search(every_hundredth(v), K), "distance")
+    return rounded(create_index("hnsw", "cosine", m=16, max_layers=4, ef=50).fit(v).search(every_hundredth(v), K), "distance")
 
 
 def _level_sql() -> str:

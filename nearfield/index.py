@@ -130,7 +130,7 @@ class Nsw(Index):
 
         start = self.vectors.agg(F.min("vec_id").alias("vec_id"))
         entry = queries.select("query_id").distinct().join(F.broadcast(start))  # one row
-        return graph.beam(self.vectors, queries, self.links, entry, max(self.params.get("ef", 50), k), self.params.get("hops", 4), self.metric).filter(F.col("rnk") <= k)
+        return graph.beam(self.vectors, queries, self.links, entry, max(self.params.get("ef", 50), k), self.metric).filter(F.col("rnk") <= k)
 
 
 class Hnsw(Index):
@@ -147,7 +147,7 @@ class Hnsw(Index):
         self.layers = graph.Layered(tables["levels"], {int(t.removeprefix("layer")): df for t, df in tables.items() if t.startswith("layer")}, self.metric)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        return self.layers.search(self.vectors, queries, k, self.params.get("ef", 50), self.params.get("hops", 3))
+        return self.layers.search(self.vectors, queries, k, self.params.get("ef", 50))
 
 
 KINDS = {c.kind: c for c in (LinScan, Lsh, Annoy, Pq, IvfPq, Nsw, Hnsw)}

@@ -32,17 +32,22 @@ def layer_edges(vectors: DataFrame, of: DataFrame, layer: int, m: int, name: str
     return edges(vectors.join(of.filter(F.col("level") >= layer).select("vec_id"), "vec_id", "left_semi"), m, name)
 
 
-def beam(vectors: DataFrame, queries: DataFrame, links: DataFrame, entry: DataFrame, ef: int, hops: int, name: str) -> DataFrame:
-    """Best-first search of all queries at once: `hops` times, the ef best seen so far bring in their neighbours.
+def beam(vectors: DataFrame, queries: DataFrame, links: DataFrame, entry: DataFrame, ef: int, name: str) -> DataFrame:
+    """Best-first search of all queries at once: those that newly entered the ef best bring in their neighbours, until none enters.
 
     entry (query_id, vec_id) are the starts; gives (query_id, rnk, vec_id, distance), ef of each query.
+    No pair is scored twice, so the search ends.
     """
     seen = cut(rerank(entry, vectors, queries, ef, name))
-    for _ in range(hops):
-        new = seen.join(links, seen["vec_id"] == links["src"]).select("query_id", F.col("dst").alias("vec_id")).distinct()
-        new = new.join(seen, ["query_id", "vec_id"], "left_anti")
-        reached = rerank(new, vectors, queries, ef, name).select("query_id", "vec_id", "distance")
-        seen = cut(top_k(seen.select("query_id", "vec_id", "distance").unionByName(reached), ef).select("query_id", "rnk", "vec_id", "distance"))
+    known, fresh = entry.select("query_id", "vec_id"), seen
+    while not fresh.isEmpty():
+        new = fresh.join(links, fresh["vec_id"] == links["src"]).select("query_id", F.col("dst").alias("vec_id")).distinct()
+        new = cut(new.join(known, ["query_id", "vec_id"], "left_anti"))
+        known = known.unionByName(new)
+        reached = rerank(new, vectors, queries, ef, name).select("query_id", "vec_id", "distance", F.lit(True).alias("fresh"))
+        best = top_k(seen.select("query_id", "vec_id", "distance", F.lit(False).alias("fresh")).unionByName(reached), ef)
+        best = cut(best.select("query_id", "rnk", "vec_id", "distance", "fresh"))
+        seen, fresh = best.drop("fresh"), best.filter("fresh")
     return seen
 
 
@@ -56,14 +61,14 @@ class Layered:
         top = of.agg(F.max("level")).first()[0] or 0
         return cls(of, {layer: cut(layer_edges(vectors, of, layer, m, name)) for layer in range(top + 1)}, name)
 
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int, ef: int = 50, hops: int = 3) -> DataFrame:
+    def search(self, vectors: DataFrame, queries: DataFrame, k: int, ef: int = 50) -> DataFrame:
         """From the entry point (least id of the top layer) greedily down, then a beam of max(ef, k) on layer 0."""
         start = self.of.agg(F.max_by("vec_id", F.struct("level", -F.col("vec_id"))).alias("vec_id"))
         at = queries.select("query_id").distinct().join(F.broadcast(start))  # one row
         for layer in sorted(self.links, reverse=True):
             if layer:
-                at = beam(vectors, queries, self.links[layer], at, 1, 2, self.name).select("query_id", "vec_id")
-        return beam(vectors, queries, self.links[0], at, max(ef, k), hops, self.name).filter(F.col("rnk") <= k)
+                at = beam(vectors, queries, self.links[layer], at, 1, self.name).select("query_id", "vec_id")
+        return beam(vectors, queries, self.links[0], at, max(ef, k), self.name).filter(F.col("rnk") <= k)
 
 
 def remove(links: DataFrame, ids: DataFrame) -> DataFrame:

@@ -117,6 +117,14 @@ def test_graph_removal(spark):
     assert [tuple(r) for r in graph.remove(links, spark.createDataFrame([(2,)], "vec_id long")).collect()] == [(0, 1)]
 
 
+def test_beam_goes_on_while_it_improves(spark):
+    v = frame(spark, [{0: float(i)} for i in range(8)])
+    links = spark.createDataFrame([(i, i + 1) for i in range(7)], "src long, dst long")
+    entry = spark.createDataFrame([(7, 0)], "query_id long, vec_id long")
+    got = graph.beam(v, knn.as_queries(v, "vec_id = 7"), links, entry, 2, name="euclidean").orderBy("rnk").collect()
+    assert [(r.vec_id, r.distance) for r in got] == [(7, 0.0), (6, 1.0)]
+
+
 def test_results_do_not_depend_on_partitions(spark):
     v = frame(spark, SIMPLE)
     one, many = (sorted(map(tuple, lsh.minhash(v.repartition(n), 3).collect())) for n in (1, 7))
