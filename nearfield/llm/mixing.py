@@ -58,14 +58,15 @@ def targets(sizes: list[int], weights: list[float], limit: int = LIMIT) -> list[
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds sid (source's rank), size and start: the document's first word in its source's sequence."""
+    """Adds size, start (the document's first word in its source's sequence) and ordinal, which tells rows of one doc_id, text and source apart."""
     sized = cut(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size")))
     bucket = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BUCKETS))
     own = sized.withColumn("bucket", bucket)
     per = own.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     per = light(cut(per), "64").select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "th")
+    within = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumns({"within": within, "ordinal": F.row_number().over(order) - F.rank().over(order)})
     return own.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("within")).drop("s", "b", "before", "within", "bucket")
 
 
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken = F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0))
     got = pieces(docs, seed)
     # a document's pieces are consecutive rows of one task, so this is a narrow sum followed by a small shuffle
-    return got.groupBy("doc_id", "th", "source", "start", "size", "source_size", "target").agg(F.sum(taken).alias("taken"), F.array_sort(F.collect_list(F.when(F.col("times") > 0, F.struct("lo", "hi", "times")))).alias("ranges"))
+    return got.groupBy("doc_id", "th", "source", "ordinal", "start", "size", "source_size", "target").agg(F.sum(taken).alias("taken"), F.array_sort(F.collect_list(F.when(F.col("times") > 0, F.struct("lo", "hi", "times")))).alias("ranges"))
 
 
 def slot_table(docs: DataFrame, rows: list[dict], seed: int = SEED) -> DataFrame:
@@ -195,9 +196,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix as rows of documents: for each pass, what it takes of a document (pieces joined by a newline)."""
-    taken = mix(docs, seed).filter("taken > 0").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "size", "ranges").dropDuplicates(["d", "t"])
-    taken = light(cut(taken), "24 * size(ranges) + 48")
-    both = docs.select("doc_id", "text", "lang", "source").join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t")))
+    dealt = cut(mix(docs, seed).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("source").alias("o"), "ordinal", "size", "taken", "ranges"))
+    repeated = cut(dealt.filter("ordinal = 1").select(F.col("d").alias("rd"), F.col("t").alias("rt"), F.col("o").alias("ro")))
+    taken, few = dealt.filter("taken > 0").drop("taken"), light(repeated, "64")
+    keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("th"))
+    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & F.col("source").eqNullSafe(F.col("o"))
+    again = F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")) & F.col("o").eqNullSafe(F.col("ro"))
+    both = keyed.join(light(cut(taken.join(few, again, "left_anti")), "24 * size(ranges) + 64"), here).drop("ordinal")
+    if not repeated.isEmpty():  # only repeated rows are numbered, by a shuffle of their texts
+        copies = keyed.join(few, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt")) & F.col("source").eqNullSafe(F.col("ro")), "left_semi")
+        copies = copies.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "th", "source").orderBy("lang")) - 1)
+        both = both.unionByName(copies.join(taken.join(few, again, "left_semi"), here & (F.col("copy") == F.col("ordinal"))).drop("copy", "ordinal"))
     return both.select("doc_id", "text", "lang", "source", "size", "ranges").mapInArrow(_texts, "doc_id long, text string, lang string, source string, n_chars long")
 
 

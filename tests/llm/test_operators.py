@@ -279,6 +279,23 @@ def test_mixing(docs, plain):
     assert len({(r.shard, r.slot) for r in slots}) == len(slots)
 
 
+def test_mixing_keeps_repeated_rows(spark):
+    say = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(1, None, "en", "a")] * 3 + [(None, "", "en", None)] * 2 + [(2, " ", "en", "a")] * 2
+    rows += [(3, say(3, 300), lang, "a") for lang in ("de", "en", None)] + [(3, say(3, 300), "en", "b")] + [(i, say(i, 200), "en", "b") for i in range(4, 9)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = mixing.mix(docs).collect()
+    assert collections.Counter((r.doc_id, r.source, r.size) for r in got) == collections.Counter((d, s, len(WORD.findall(t or ""))) for d, t, _, s in rows)
+    words = collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.doc_id, r.source] += len(WORD.findall(r.text))
+    taken = collections.Counter()
+    for r in got:
+        taken[r.doc_id, r.source] += r.taken
+    assert len({r.taken for r in got if (r.doc_id, r.source) == (3, "a")}) > 1  # copies lie in different blocks
+    assert words == +taken
+
+
 def test_sharding(docs, plain):
     got = sharding.shard(docs, 5).collect()
     assert len(got) == len(plain) and {r.law for r in got} == {"bytes"}
