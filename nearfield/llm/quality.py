@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import cut
-from .textkit import BASE, U64, Spans, chunks, lowered, mix, shingle_hashes, word_hashes, words
+from .textkit import U64, chunks, hash_spans, lowered, mix, shingle_hashes, word_hashes, words
 
 # Frequent words of each language.
 COMMON = {
@@ -75,7 +75,7 @@ def features(data: np.ndarray, off: np.ndarray, lexicon: np.ndarray) -> dict[str
     has = np.searchsorted(starts, a) < np.searchsorted(starts, b)
     a, b = a[has], b[has]
     line_row = np.searchsorted(off, a, "right") - 1
-    lines = Spans(data.astype(np.uint16) + 1, BASE).hash(a, b) ^ mix(line_row.astype(U64))
+    lines = hash_spans(data, a, b) ^ mix(line_row.astype(U64))
     _, once = np.unique(lines, return_index=True)
     dup = np.bincount(line_row, minlength=rows) - np.bincount(line_row[once], minlength=rows)
     # words in 3-word windows that the row has twice

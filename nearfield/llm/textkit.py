@@ -4,9 +4,11 @@ All of them work on the flat UTF-8 buffer of an Arrow string column, a few
 hundred kilobytes at a time, so a worker's memory does not depend on the size
 of a batch (a single document larger than a chunk is a chunk of its own).
 
-Hashes are 64-bit polynomials of the bytes (mod 2**64, odd base) followed by a
-bijective finaliser; a pair of different strings collides with probability of
-about 2**-64.
+Hashes are 64 bits wide. Spans of bytes are taken in eight bytes at a time, and
+spans of a sequence by doubling blocks; every step is a multiplication and a
+shift, so that no arrangement of a text (periodic or self-similar) makes terms
+cancel. A given pair of different strings agrees with a probability of about
+2**-64; over N strings some pair does with N**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -16,28 +18,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-WORD_BASE = 0xD6E8FEB86659FD93 | 1
+# Arbitrary odd multipliers.
+STEP = 0x9E3779B97F4A7C15
+SHIFT = 0xD6E8FEB86659FD93
+LENGTH = 0xA24BAED4963EE407
+#: Spans of more bytes are hashed one by one.
+LONG = 2048
 CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 2 * CHUNK)
-        out = np.full(size, base, U64)
-        out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
-    return have[:n]
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,17 +45,70 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes."""
+    left = ends - starts
+    h = mix(left.astype(U64) * U64(LENGTH) + U64(STEP))
+    for i in np.flatnonzero(left > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    eight, which = _eights(data), np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = starts[which], left[which]
+    while len(which):
+        h[which] = mix((h[which] ^ (eight[at] & _MASK[np.minimum(left, 8)])) * U64(STEP))
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return h
+
+
 class Spans:
-    """Hashes of any span of a sequence in constant time each."""
+    """Hashes of spans of a sequence: two overlapping blocks of a power of two cover a span.
+
+    Blocks double from one call to the next, and only the last size is held, so
+    calls must not go back to shorter spans than half of an earlier one's.
+    """
 
-    def __init__(self, values: np.ndarray, base: int) -> None:
-        self.base, n = base, len(values)
-        self.total = np.zeros(n + 1, U64)
-        np.cumsum(values.astype(U64) * powers(base, n), out=self.total[1:])
-        self.inverse = powers(pow(base, -1, 1 << 64), n + 1)
+    def __init__(self, units: np.ndarray) -> None:
+        """units: bytes, or 64-bit hashes of a sequence's members."""
+        self.n = len(units)
+        self.data = units if units.dtype == np.uint8 else None
+        self.size, self.block = (0, None) if self.data is not None else (1, units)
+
+    def _reach(self, size: int) -> np.ndarray:
+        if self.size > size:
+            raise ValueError("blocks have grown past this size")
+        if self.data is not None and self.size < 8:
+            self.size = min(size, 8)
+            self.block = mix((_eights(self.data)[: self.n] & _MASK[self.size]) * U64(STEP))
+        while self.size < size:
+            h = self.block[: max(0, len(self.block) - self.size)]
+            self.block = (h ^ (h >> U64(32))) * U64(STEP) + self.block[self.size :] * U64(SHIFT)
+            self.size *= 2
+        return self.block
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        length = end - start
+        out = np.zeros(len(start), U64)
+        sizes = np.left_shift(1, np.frexp(length.astype(np.float64))[1] - 1)
+        for size in np.unique(sizes).tolist():
+            of = sizes == size
+            block, a, b = self._reach(size), start[of], end[of] - size
+            h = block[a]
+            out[of] = mix((h ^ (h >> U64(32))) * U64(STEP) + block[b] * U64(SHIFT) + length[of].astype(U64) * U64(LENGTH))
+        return out
+
+    def hash_all(self, length: int) -> np.ndarray:
+        """Hashes of all spans of one length, as hash gives them."""
+        size = 1 << (length.bit_length() - 1)
+        block, n = self._reach(size), max(0, self.n - length + 1)
+        h = block[:n]
+        return mix((h ^ (h >> U64(32))) * U64(STEP) + block[length - size : length - size + n] * U64(SHIFT) + U64(length * LENGTH & (1 << 64) - 1))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +153,10 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(data.astype(np.uint16) + 1, BASE).hash(starts, ends)
+    return hash_spans(data, starts, ends)
+
+
+_PLACES = [pow(SHIFT, j + 1, 1 << 64) ^ (j << 17) for j in range(64)]
 
 
 def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
@@ -112,7 +164,7 @@ def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     n = max(0, len(w) - k + 1)
     h = np.zeros(n, U64)
     for j in range(k):
-        h = h * U64(WORD_BASE) + w[j : j + n]
+        h += w[j : j + n] * U64(_PLACES[j] | 1)
     return mix(h)
 
 
@@ -125,11 +177,8 @@ def shingle_set(w: np.ndarray, shingles: np.ndarray, k: int) -> np.ndarray:
         return np.unique(shingles[: len(w) - k + 1])
     if not len(w):
         return np.zeros(0, U64)
-    h = U64(len(w))
-    with np.errstate(over="ignore"):
-        for x in w:
-            h = h * U64(WORD_BASE) + x
-    return mix(np.array([h], U64))
+    places = np.array([p | 1 for p in _PLACES[: len(w)]], U64)
+    return mix(np.array([np.sum(w * places) + U64(len(w))], U64))
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
@@ -146,8 +195,8 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & U64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchor_runs(units: Spans, off: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
-    """Windows of `length` units of every row, grouped by their anchor.
+def anchor_runs(units: Spans, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Hashes of all k-unit strings, and windows of `length` units of every row, grouped by their anchor.
 
     A window's anchor is the leftmost minimum of the hashes of its k-unit
     strings, so equal windows have equal anchors at equal places. Windows with
@@ -156,16 +205,16 @@ def anchor_runs(units: Spans, off: np.ndarray, length: int, k: int) -> dict[str,
     n = int(off[-1])
     empty = {x: np.zeros(0, np.int64) for x in ("row", "lo", "hi", "at")}
     if n < length:
-        return empty
-    starts = np.arange(n - k + 1)
-    at = sliding_argmin(units.hash(starts, starts + k), length - k + 1)
+        return np.zeros(0, U64), empty
+    strings = units.hash_all(k)
+    at = sliding_argmin(strings, length - k + 1)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(at)]
     valid = np.flatnonzero(np.arange(len(at)) + length <= off[1:][row])
     if not len(valid):
-        return empty
+        return strings, empty
     at, row = at[valid], row[valid]
     new = np.ones(len(valid), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(valid)) - 1
-    return {"row": row[first], "lo": valid[first], "hi": valid[last], "at": at[first]}
+    return strings, {"row": row[first], "lo": valid[first], "hi": valid[last], "at": at[first]}
