@@ -1,7 +1,7 @@
 """Similarity join of documents on five-word shingles, Jaccard 0.8 or more.
 
 A document is the set of its hashed shingles. The set's hashes fall into
-GROUPS groups; the vector of group counts is a point. The sum of coordinate
+groups; the vector of group counts is a point. The sum of coordinate
 minima of two points bounds the sets' overlap from above, and of two boxes (by
 their upper corners) that of all pairs of points in them. `CountTree` is an
 R-tree of such points that lists the pairs its bound can't exclude.
@@ -16,13 +16,20 @@ puts shingles last that a fixed-size count sketch of the whole corpus finds
 frequent, which keeps subtrees small; large ones are dealt in parts.
 
 1. One pass over the text: set size, set hash (equal sets form a class), point,
-   and the sketch. 2. Subtrees: shingle -> classes; equal lists are kept once.
-3. Each class is compared with the least class of its subtree; those verified
-   link. 4. Subtrees that still hold several components go through the tree,
-   and surviving pairs of different components are verified exactly.
+   and the sketch. 2. Subtrees: shingle -> classes; equal lists are kept once, and
+   a shingle counted in more than PART sets is dealt in parts. 3. Each class is
+   compared with the least class of its subtree; those verified link. 4. Subtrees
+   that still hold several components go through the tree, part by part: of the
+   pairs that its bound leaves, each that joins two components of the subtree is
+   a link to be verified, so there are fewer links than members. Where a link
+   fails, the subtree is searched again without it, until none does.
 Components of the links are exact: a pair is left out only if it can't reach
 the threshold or its documents are in one component already.
 
+A point has a power of two of groups, at least twice the set's size, so that the
+bound is tight for long texts too; adjacent groups are summed to compare two
+points of different length, and to get the tree's own COARSE groups.
+
 Texts without words have an empty set and are linked with nothing; with fewer
 than five words the whole sequence is one shingle. Rows with equal sets,
 repeated rows included, are in one class. A null doc_id never names a component
@@ -40,13 +47,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, narrow
+from .frames import cut
 from .textkit import U64, chunks, lowered, mix, shingle_hashes, shingle_set, word_hashes, words
 
 SHINGLE = 5
-#: Groups of a point, and those of the finer point that pairs are bounded by before their sets are fetched.
-GROUPS = 64
-FINE = 512
+#: Groups that the tree's boxes have.
+COARSE = 64
 FANOUT = 16
 #: Cells of each row of the sketch, 4 bytes each: a fixed size, sent to every task.
 SKETCH = 1 << 17
@@ -70,18 +76,23 @@ def set_key(s: np.ndarray) -> int:
     return int(np.bitwise_xor(np.sum(mix(s)), mix(np.array([len(s)], U64))[0]).view(np.int64)) if len(s) else 0
 
 
-def pack(counts: np.ndarray) -> bytes:
-    """A point's counts as the narrowest unsigned integers that hold its largest."""
-    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+def point(s: np.ndarray) -> bytes:
+    """Counts of a set's groups as the narrowest unsigned integers that hold the largest, after a byte for their width."""
+    bits = max(COARSE.bit_length() - 1, int(2 * len(s) - 1).bit_length() if len(s) else 0)
+    counts = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    narrow_type = np.min_scalar_type(int(counts.max()))
+    return bytes([narrow_type.itemsize]) + counts.astype(narrow_type).tobytes()
+
+
+def unpack(raw: pa.Scalar) -> np.ndarray:
+    raw = raw.as_buffer()
+    width = raw[0] if isinstance(raw[0], int) else raw[0][0]
+    return np.frombuffer(raw, f"u{width}", offset=1)
 
 
-def unpack(column: pa.Array, groups: int) -> np.ndarray:
-    """The packed points of a column, one row each."""
-    out = np.zeros((len(column), groups), np.uint32)
-    for i, x in enumerate(column):
-        raw = x.as_buffer()
-        out[i] = np.frombuffer(raw, f"u{raw.size // groups}")
-    return out
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """A point (or rows of points) with fewer groups."""
+    return counts.reshape(*counts.shape[:-1], groups, -1).sum(-1, dtype=np.uint32) if counts.shape[-1] > groups else counts.astype(np.uint32)
 
 
 def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +109,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, out, held, size = batch.column("doc_id").to_pylist(), [], [], 0
         for row, s in sets(batch.column("text")):
-            out.append((0, ids[row], len(s), set_key(s), pack(np.bincount((s >> U64(55)).astype(np.int64), minlength=FINE)), task))
+            out.append((0, ids[row], len(s), set_key(s), point(s), task))
             held.append(s)
             size += len(s)
             if size > 1 << 18:
@@ -135,50 +146,55 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a set's prefix in the global order, and the parts into which each one's subtree is dealt."""
+    """The shingles of a set's prefix in the global order, and whether each may be in more than PART sets (the sketch never counts too few)."""
     a, b = _cells(s)
     count = np.minimum(sketch[0][a], sketch[1][b]).astype(np.int64)
     limit = 2 * int(sketch[0].sum(dtype=np.int64)) // SKETCH + 64
     level = np.where(count <= limit, 0, np.ceil(np.log2(np.maximum(count, 1) / limit)).astype(np.int64) + 1)
     n = len(s)
     take = np.lexsort((s, level))[: n - (-(-4 * n // 5)) + 1]
-    return s[take], np.where(level[take] > 0, -(-count[take] // PART), 1)
+    return s[take], count[take] > PART
 
 
 def _subtrees(sketch: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # the classes of this task's rows
         for batch in batches:
-            shingles, classes, parts = [], [], []
+            shingles, classes, often = [], [], []
             for _, s in sets(batch.column("text")):
                 key = set_key(s)
                 if len(s) and key not in seen:
                     seen.add(key)
-                    p, k = prefix(s, sketch)
+                    p, many = prefix(s, sketch)
                     shingles.append(p.view(np.int64))
                     classes.append(np.full(len(p), key))
-                    parts.append(k)
+                    often.append(many)
             if shingles:
-                sh, cl, pt = map(np.concatenate, (shingles, classes, parts))
-                part = (mix(cl.astype(np.int64).view(U64)) % pt.astype(U64)).astype(np.int32)
+                sh, cl, of = map(np.concatenate, (shingles, classes, often))
                 for i in range(0, len(sh), 1 << 16):
                     j = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(sh[j]), pa.array(cl[j].astype(np.int64)), pa.array(part[j]), pa.array(pt[j].astype(np.int32))], names=["shingle", "cls", "part", "parts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sh[j]), pa.array(cl[j].astype(np.int64)), pa.array(of[j])], names=["shingle", "cls", "often"])
 
     return run
 
 
 class CountTree:
-    """R-tree of count vectors, packed bottom-up in the order of size; `upper` holds each level's upper corners."""
+    """R-tree of count vectors, packed bottom-up in the order of size; `upper` holds each level's upper corners.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+    comp: components; pairs of boxes that hold one component only aren't entered.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, comp: np.ndarray | None = None) -> None:
         self.order = np.argsort(sizes, kind="stable")
         upper, low, high = points[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(upper, low, high)]
+        least = most = (np.arange(len(sizes)) if comp is None else comp)[self.order]
+        self.levels, self.comps = [(upper, low, high)], [(least, most)]
         while len(upper) > 1:
             starts = np.arange(0, len(upper), FANOUT)
             upper, low, high = np.maximum.reduceat(upper, starts), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            least, most = np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)
             self.levels.append((upper, low, high))
+            self.comps.append((least, most))
 
     def _possible(self, other: CountTree, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         (u, lo, hi), (u2, lo2, hi2) = self.levels[level], other.levels[level]
@@ -187,7 +203,8 @@ class CountTree:
             x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
             bound = np.minimum(np.minimum(u[x], u2[y]).sum(1, dtype=np.int64), np.minimum(hi[x], hi2[y]))
             keep[a : a + (1 << 14)] = 9 * bound >= 4 * (lo[x] + lo2[y])  # overlap / union >= 4 / 5
-        return keep
+        (least, most), (least2, most2) = self.comps[level], other.comps[level]
+        return keep & ~((least[i] == most[i]) & (least2[j] == most2[j]) & (least[i] == least2[j]))
 
     def pairs(self, other: CountTree | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of points (of one tree: each once) that may reach the threshold."""
@@ -195,8 +212,10 @@ class CountTree:
         other = self if own else other
         while len(self.levels) < len(other.levels):
             self.levels.append(self.levels[-1])
+            self.comps.append(self.comps[-1])
         while len(other.levels) < len(self.levels):
             other.levels.append(other.levels[-1])
+            other.comps.append(other.comps[-1])
         i = j = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             if level < len(self.levels) - 1:
@@ -217,40 +236,81 @@ class CountTree:
         return x[inside], y[inside]
 
 
-def _tree_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different components in a subtree that the tree can't exclude."""
-    cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
-    side, sizes = table.column("side").to_numpy(), table.column("n").to_numpy()
-    points = unpack(table.column("coarse"), GROUPS)
-    if side.max() == 0:
-        a, b = CountTree(points, sizes).pairs()
+class Points:
+    """Points of several lengths, folded to a common one where they are compared."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        self.rows = [unpack(x) for x in column]
+        self.groups = np.array([len(x) for x in self.rows], np.int64)
+
+    def coarse(self) -> np.ndarray:
+        return np.array([folded(x, COARSE) for x in self.rows], np.uint32).reshape(-1, COARSE)
+
+    def reach(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the summed minima of rows a and b reach the threshold."""
+        keep, least = np.zeros(len(a), bool), np.minimum(self.groups[a], self.groups[b])
+        for groups in np.unique(least).tolist():
+            of = np.flatnonzero(least == groups)
+            used, place = np.unique(np.concatenate([a[of], b[of]]), return_inverse=True)
+            matrix = np.array([folded(self.rows[i], groups) for i in used.tolist()], np.uint32)
+            step = max(1, (1 << 21) // groups)
+            for k in range(0, len(of), step):
+                x, y = place[k : min(k + step, len(of))], place[len(of) + k : len(of) + min(k + step, len(of))]
+                bound = np.minimum(matrix[x], matrix[y]).sum(1, dtype=np.int64)
+                at = of[k : k + step]
+                keep[at] = 9 * bound >= 4 * (sizes[a[at]] + sizes[b[at]])
+        return keep
+
+
+_LINK = "shingle long, p int, q int, a long, b long"
+#: Pairs that are bounded and joined at a time.
+PAIRS = 1 << 12
+
+
+def _tree_links(table: pa.Table) -> pa.Table:
+    """Links between components in a subtree (or two parts of one), by the pairs that the tree can't exclude and that haven't failed (rows of kind 1)."""
+    kind = table.column("kind").to_numpy()
+    failed = table.filter(pa.array(kind == 1))
+    table = table.filter(pa.array(kind == 0))
+    cls, sizes, side = (table.column(c).to_numpy() for c in ("cls", "n", "side"))
+    comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+    no = set(zip(failed.column("cls").to_pylist(), failed.column("comp").to_pylist()))
+    points, out = Points(table.column("point")), []
+    coarse = points.coarse()
+    if not len(side) or side.max() == 0:
+        a, b = CountTree(coarse, sizes, comp).pairs() if len(side) else (side, side)
     else:
         x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        if not len(x) or not len(y):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b = CountTree(points[x], sizes[x]).pairs(CountTree(points[y], sizes[y]))
+        a, b = CountTree(coarse[x], sizes[x], comp[x]).pairs(CountTree(coarse[y], sizes[y], comp[y])) if len(x) and len(y) else (x[:0], y[:0])
         a, b = x[a], y[b]
-    other = comp[a] != comp[b]
-    a, b = cls[a[other]], cls[b[other]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    for k in range(0, len(a), PAIRS):
+        i, j = a[k : k + PAIRS], b[k : k + PAIRS]
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        if len(i):
+            near = points.reach(i, j, sizes)
+            for u, v in zip(i[near].tolist(), j[near].tolist()):
+                if comp[u] != comp[v]:
+                    pair = (int(min(cls[u], cls[v])), int(max(cls[u], cls[v])))
+                    if pair not in no:
+                        out.append(pair)
+                        comp[comp == comp[v]] = comp[u]
+    first = (failed if not table.num_rows else table).slice(0, 1)
+    key = {c: pa.array(np.full(len(out), first.column(c)[0].as_py()), t) for c, t in (("shingle", pa.int64()), ("p", pa.int32()), ("q", pa.int32()))}
+    return pa.table(key | {"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes whose points' summed minima reach the threshold."""
     for batch in batches:
-        if batch.num_rows:
-            pa_, pb = (unpack(batch.column(c), FINE) for c in ("pa", "pb"))
-            bound = np.minimum(pa_, pb).sum(1, dtype=np.int64)
-            keep = 9 * bound >= 4 * (batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+        n = batch.num_rows
+        if n:
+            points = Points(pa.chunked_array([batch.column("pa"), batch.column("pb")]))
+            sizes = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            keep = points.reach(np.arange(n), np.arange(n) + n, sizes)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fine = unpack(batch.column("point"), FINE).reshape(-1, GROUPS, FINE // GROUPS)
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array([pack(x) for x in fine.sum(2, dtype=np.uint32)], pa.binary())], names=["cls", "n", "coarse"])
-
-
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [(set_key(s), s.tobytes()) for _, s in sets(batch.column("text"))]
@@ -272,7 +332,6 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link; sets are read from the representatives' texts."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls").select("rep").distinct()
-    need = narrow(cut(need))
     chosen = docs.join(need, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
     known = cut(chosen.mapInArrow(_set_rows, "cls long, shingles binary").dropDuplicates(["cls"]))
     left = pairs.join(known.withColumnsRenamed({"cls": "a", "shingles": "sa"}), "a")
@@ -286,38 +345,64 @@ def similar(docs: DataFrame) -> DataFrame:
     rows = described.filter("kind = 0")
     sketch = _sketch(described)
     classes = cut(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")))
-    flat = docs.mapInArrow(_subtrees(sketch), "shingle long, cls long, part int, parts int")
-    lists = flat.repartition("shingle", "part").groupBy("shingle", "part", "parts").agg(F.sort_array(F.collect_set("cls")).alias("list"))
+    flat = cut(docs.mapInArrow(_subtrees(sketch), "shingle long, cls long, often boolean"))
+    # the shingles that are in more than PART sets, counted; a class that several tasks have met counts for each
+    hot = flat.filter("often").groupBy("shingle").agg(F.count("*").alias("sets")).filter(F.col("sets") > PART).select("shingle", F.ceil(F.col("sets") / PART).cast("int").alias("parts"))
+    dealt = flat.filter("often").join(hot, "shingle", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    each = flat.filter("not often").withColumns({"parts": F.lit(1), "part": F.lit(0)}).unionByName(dealt).drop("often")
+    lists = each.repartition("shingle", "part").groupBy("shingle", "part", "parts").agg(F.sort_array(F.collect_set("cls")).alias("list"))
     small = lists.filter("parts = 1 and size(list) > 1").groupBy("list").agg(F.min("shingle").alias("shingle"), F.first("part").alias("part"), F.first("parts").alias("parts"))
     subtrees = cut(small.select("shingle", "part", "parts", "list").unionByName(lists.filter("parts > 1").select("shingle", "part", "parts", "list")))
     # step 3: stars around the least class of each list, and of all parts of a subtree
     star = subtrees.select(F.col("list")[0].alias("a"), F.explode("list").alias("b"))
     heads = subtrees.filter("parts > 1").groupBy("shingle").agg(F.min(F.col("list")[0]).alias("a")).join(subtrees.filter("parts > 1").select("shingle", F.col("list")[0].alias("b")), "shingle").select("a", "b")
-    point = classes.select("cls", "n", "point")
-    at = lambda c: point.withColumnsRenamed({"cls": c, "n": f"n{c}", "point": f"p{c}"})
-    bounded = lambda pairs: cut(pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long"))
-    links = cut(_verified(bounded(star.unionByName(heads).filter("a < b").distinct()), docs, classes))
-    first = cut(components(links, "a", "b"))
-    # step 4
-    members = subtrees.select("shingle", "part", "parts", F.explode("list").alias("cls")).join(first, F.col("cls") == F.col("node"), "left").select("shingle", "part", "parts", "cls", F.coalesce("component", "cls").alias("comp"))
-    mixed = members.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
-    coarse = point.mapInArrow(_coarse, "cls long, n long, coarse binary")
-    # a subtree in k parts is compared part by part with itself and every other
-    pair = F.when(F.col("parts") == 1, F.array(F.struct(F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("p"), F.greatest(F.col("part"), o).alias("q"), F.when(F.col("part") == o, 0).when(F.col("part") < o, 1).otherwise(2).alias("side")))
-    )
-    spread = members.join(mixed, "shingle").join(coarse, "cls").withColumn("x", F.explode(pair)).select("shingle", "x.p", "x.q", "x.side", "cls", "comp", "n", "coarse")
-    rest = bounded(spread.groupBy("shingle", "p", "q").applyInArrow(_tree_pairs, "a long, b long").distinct())
-    more = cut(_verified(rest, docs, classes))
-    last = components(links.unionByName(more), "a", "b")
+    known = classes.select("cls", "n", "point")
+    at = lambda c: known.withColumnsRenamed({"cls": c, "n": f"n{c}", "point": f"p{c}"})
+    near = star.unionByName(heads).filter("a < b").distinct().join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long")
+    links = cut(_verified(cut(near), docs, classes))
+    # step 4: until every link that the trees propose is verified
+    failed = None
+    while True:
+        comps = components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+        found = cut(_search(subtrees, known, cut(comps), failed))
+        if found.isEmpty():
+            break
+        good = cut(_verified(cut(found.select("a", "b").distinct()), docs, classes))
+        bad = found.join(good, ["a", "b"], "left_anti")
+        if bad.isEmpty():
+            links = links.unionByName(good)
+            break
+        links, failed = cut(links.unionByName(good)), cut(bad if failed is None else failed.unionByName(bad))
+    last = components(links, "a", "b")
     named = last.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("cls", "component", "rep")
     lowest = named.groupBy("component").agg(F.min("rep").alias("least"))
-    class_id = classes.select("cls", "rep").join(named.select("cls", "component"), "cls", "left").join(lowest, "component", "left").select("cls", F.coalesce("least", "rep").alias("least"))
-    return rows.join(class_id, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    class_id = classes.select("cls", "rep").join(named.select("cls", "component"), "cls", "left").join(lowest, "component", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.filter("n > 0").join(class_id, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def _search(subtrees: DataFrame, known: DataFrame, comps: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """Links that the trees of subtrees with several components propose; after the first round only of those in which one has failed."""
+    place = subtrees.select("shingle", "part", F.explode("list").alias("cls")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = place.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
+    if failed is not None:
+        mixed = mixed.join(failed.select("shingle").distinct(), "shingle")
+    # a subtree in k parts is compared part by part with itself and every other
+    o, part = F.sequence(F.lit(0), F.col("parts") - 1), F.col("part")
+    pair = F.when(F.col("parts") == 1, F.array(F.struct(part.alias("p"), part.alias("q"), F.lit(0).alias("side")))).otherwise(
+        F.transform(o, lambda x: F.struct(F.least(part, x).alias("p"), F.greatest(part, x).alias("q"), F.when(part == x, 0).when(part < x, 1).otherwise(2).alias("side")))
+    )
+    members = subtrees.join(mixed, "shingle", "left_semi").withColumn("pair", pair).select("shingle", F.explode("list").alias("cls"), "pair").join(known, "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    spread = members.withColumn("x", F.explode("pair")).select("shingle", "x.p", "x.q", "x.side", "cls", "comp", "n", "point", F.lit(0).alias("kind"))
+    if failed is not None:
+        only = failed.select("shingle", "p", "q").distinct()
+        old = failed.select("shingle", "p", "q", F.lit(0).alias("side"), F.col("a").alias("cls"), F.col("b").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), F.lit(1).alias("kind"))
+        spread = spread.join(only, ["shingle", "p", "q"], "left_semi").unionByName(old)
+    return spread.groupBy("shingle", "p", "q").applyInArrow(_tree_links, _LINK)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with the row of the smallest doc_id of every component (a null doc_id is its own, kept)."""
-    keep = cut(similar(docs).filter("component_id is null or doc_id = component_id").select("doc_id").distinct())
-    keep = narrow(keep).withColumnRenamed("doc_id", "stays")
+    keep = similar(docs).filter("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["stays"]), "left_semi")

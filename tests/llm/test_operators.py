@@ -141,16 +141,47 @@ def test_ngram_join(docs, plain):
     assert got == {i: (len(s[i]), root(i)) for i in s}
 
 
-def test_packed_points_keep_their_counts():
-    rows = [np.zeros(4, np.int64), np.array([255, 0, 1, 2]), np.array([256, 0, 1, 2]), np.array([70_000, 3, 0, 65_535])]
-    packed = pa.array([ngram_join.pack(x) for x in rows], pa.binary())
-    assert [len(x.as_py()) for x in packed] == [4, 4, 8, 16]
-    assert (ngram_join.unpack(packed.slice(1), 4) == rows[1:]).all() and ngram_join.unpack(packed, 4).shape == (4, 4)
+def test_points_bound_the_overlap_at_any_length():
+    rng = np.random.default_rng(4)
+    many = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 7, 40, 45, 700, 3000)]
+    many += [np.unique(np.concatenate([many[4][:650], many[3]])), np.full(1, 5, np.uint64), many[5][:2800]]
+    column = pa.chunked_array([pa.array([ngram_join.point(s) for s in many], pa.binary())])
+    points, sizes = ngram_join.Points(column), np.array([len(s) for s in many])
+    assert [int(x.sum()) for x in points.rows] == sizes.tolist() and (points.coarse().sum(1) == sizes).all()
+    i, j = (x.ravel() for x in np.indices((len(many), len(many))))
+    reach = points.reach(i, j, sizes)
+    for a, b, ok in zip(i.tolist(), j.tolist(), reach.tolist()):
+        both = len(np.intersect1d(many[a], many[b]))
+        assert ok or 100 * both < 80 * (sizes[a] + sizes[b] - both)
+    assert 0 < reach.sum() < 20
+
+
+def test_search_goes_on_after_failed_links(spark, monkeypatch):
+    """With points that bound nothing, links must be proposed and dropped until the components are right."""
+    monkeypatch.setattr(ngram_join.Points, "reach", lambda self, a, b, sizes: np.ones(len(a), bool))
+    word = lambda a, b: [f"w{i}" for i in range(a, b)]
+    rows = [" ".join([*word(0, 30), *word(100 * k, 100 * k + 12)]) for k in range(1, 7)]
+    rows += [" ".join([*word(0, 30), *word(100 * k, 100 * k + 12), "more"]) for k in range(1, 7)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar(docs).collect()} == {i: i % 6 for i in range(12)}
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_groups_of_near_copies_give_few_links(spark, part, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", part)
+    rng, base = random.Random(5), [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(10, 60)] = f"x{i}"
+        rows.append(" ".join(w))
+    docs = spark.createDataFrame([(i + 3, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in ngram_join.similar(docs).collect()} == {3}
 
 
 def test_count_tree_keeps_every_pair_that_may_reach_the_threshold():
     rng = np.random.default_rng(2)
-    base = rng.poisson(6, (12, ngram_join.GROUPS))
+    base = rng.poisson(6, (12, ngram_join.COARSE))
     points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape), 0) for _ in range(12)]).astype(np.uint32)
     sizes = points.sum(1, dtype=np.int64)
     a, b = ngram_join.CountTree(points, sizes).pairs()
@@ -180,6 +211,48 @@ def test_quality_counts(docs, plain):
         assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def morse(m, a, b):
+    out = [0]
+    for _ in range(m):
+        out += [1 - x for x in out]
+    return "".join((a, b)[x] for x in out)
+
+
+def test_self_similar_texts_are_not_taken_for_equal(spark):
+    a, b = morse(11, "a", "b"), morse(11, "b", "a")
+    words = " ".join(morse(11, "a", "b")), " ".join(morse(11, "b", "a"))
+    docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a}\n{a}"), (3, words[0]), (4, words[1])], "doc_id long, text string").selectExpr("*", "'en' as lang")
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    bytes_of = {1: a.encode(), 2: b.encode()}
+    two = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.suffix_dedup(two, 900).collect()} == {i: sum(g) for i, g in removed(bytes_of, 900).items()}
+    units = {1: list(words[0].split()), 2: list(words[1].split())}
+    two = spark.createDataFrame([(1, words[0]), (2, words[1])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.debruijn_dedup(two).collect()} == {i: sum(g) for i, g in removed(units, 35).items()}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 64])
+def test_periodic_and_repeated_texts(spark, block, monkeypatch):
+    """Constant and periodic texts, equal rows, null and repeated doc_ids; also with texts read in small pieces."""
+    from nearfield.llm import repeats
+
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    x = noise(130)
+    rows = ["=" * 300, "=" * 45, "=" * 39, "ab" * 90 + "c", x + "-=" * 100 + x, noise(50) + x[10:90] + noise(20), noise(200)]
+    rows += [rows[6][:150] + noise(9), x[:60] + "q" + x[61:], None, "", rows[-1], "abc" * 14]
+    docs = spark.createDataFrame([(None if i % 5 == 4 else i // 2, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    gone = removed({i: (t or "").encode() for i, t in enumerate(rows)}, 40)
+    want = collections.Counter((hashlib.sha256(bytes(c for c, g in zip((t or "").encode(), gone[i]) if not g)).hexdigest(), sum(gone[i])) for i, t in enumerate(rows))
+    assert collections.Counter((r.kept_sha256, r.n_removed) for r in substrings.suffix_dedup(docs, 40).collect()) == want
+    units = {i: (t or "").replace("a", " ").split() for i, t in enumerate(rows)}
+    words = docs.selectExpr("doc_id", "replace(text, 'a', ' ') as text")
+    gone = removed(units, 6)
+    want = collections.Counter((hashlib.sha256(" ".join(c for c, g in zip(u, gone[i]) if not g).encode()).hexdigest(), sum(gone[i])) for i, u in units.items())
+    assert collections.Counter((r.kept_sha256, r.n_removed) for r in substrings.debruijn_dedup(words, 6).collect()) == want
+
+
 def test_js_distance():
     p = np.array([[1.0, 0], [1, 1], [0, 0]])
     assert quality.js_distance(p, np.array([0.0, 1])) == pytest.approx([1, 0.5579230, 0], abs=1e-6)
