@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.plans.store import cut, workdir
+
 #: Most rows of narrow integers that a join sends to every executor (about 100 MB once hashed).
 BROADCAST_ROWS = 1_000_000
-#: Most bytes of wider rows.
-BROADCAST_BYTES = 48 << 20
-
-
-def workdir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and safe from lost executors."""
-    path = workdir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def narrow(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -35,12 +16,4 @@ def narrow(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def light(df: DataFrame, size: str, most: int = BROADCAST_BYTES) -> DataFrame:
-    """The same for wider rows; `size` is an expression for the bytes of a row."""
-    total = df.agg(F.sum(F.expr(size))).first()[0] or 0
-    return F.broadcast(df) if total <= most else df
-
-
-def text_only(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (and `more`), so that other columns, whatever their names, are neither read nor clash."""
-    return docs.select("doc_id", "text", *more)
+__all__ = ["cut", "narrow", "workdir"]
