@@ -1,19 +1,21 @@
 """Mixing sources to target weights, without replacement within a pass.
 
 Each source is the sequence of its documents' words, packed into blocks of
-BLOCK words. The mix is a list of slots of one block each, dealt to output
-shards. The number of slots of each source in each shard is drawn from the
-multinomial law conditioned on the sources' totals (multivariate
-hypergeometric), so totals meet the targets exactly. The j-th slot of a source
-takes block P_e(j mod m), where m is its number of blocks, e = j div m the pass
-and P_e a pseudorandom permutation of the indexes; blocks join by index.
+BLOCK words. The mix is a list of slots of one block each, in output shards of
+about SHARD_SLOTS slots. How many slots a source has in each shard is drawn from
+the multinomial law, given the source's number of slots, by binomial draws down
+a binary tree over the shards; a task draws the counts of its own shards only.
+The j-th slot of a source takes block P_e(j mod m), where m is its number of
+blocks, e = j div m the pass and P_e a pseudorandom permutation of the indexes
+(a Feistel network); slots and blocks join by index, and what a document gives
+is counted from that join.
 
 Weights repeat 5, 2, 1 over the sources in code point order, null last. A
 source's target is at most LIMIT times its size, the excess shared by weight
 among the others until none is above. Every draw depends on the seed and keys
 alone, so reruns agree. Documents without words take no part (taken 0); a
-repeated doc_id is a document of its own. Sources are assumed to be thousands
-at most: a row for each is held by the driver.
+repeated doc_id, and a repeated row, is a document of its own. Sources are
+assumed to be thousands at most: a row for each is held by the driver.
 """
 
 from __future__ import annotations
@@ -23,19 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import cut, light
+from .frames import cut
+from .textkit import U64, mix as scrambled
 
 BLOCK = 128
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 SEED = 20_240_601
-#: Parts into which a source's documents are dealt to number its words.
-BUCKETS = 64
+#: Documents of a source that are numbered together.
+BUCKET_ROWS = 10_000
 SHARD_SLOTS = 4096
+#: Shards whose slots one task makes.
+SHARDS_OF_TASK = 64
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,117 +62,119 @@ def targets(sizes: list[int], weights: list[float], limit: int = LIMIT) -> list[
     return out
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds size, start (the document's first word in its source's sequence) and ordinal, which tells rows of one doc_id, text and source apart."""
-    sized = cut(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size")))
-    bucket = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BUCKETS))
-    own = sized.withColumn("bucket", bucket)
-    per = own.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    per = light(cut(per), "64").select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
-    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "th")
-    within = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = own.withColumns({"within": within, "ordinal": F.row_number().over(order) - F.rank().over(order)})
-    return own.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("within")).drop("s", "b", "before", "within", "bucket")
+def _sized(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size")))
 
 
-def plan(numbered: DataFrame, seed: int = SEED) -> list[dict]:
-    """Per source: size, blocks, target, slots, and the slots it has in each shard."""
-    rows = numbered.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    rows = sorted(({"source": r["source"], "size": r["size"]} for r in rows), key=lambda r: (r["source"] is None, r["source"] or ""))
+def plan(sized: DataFrame) -> list[dict]:
+    """Per source: sid, source, rows, size, blocks, target and slots."""
+    rows = [r.asDict() for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()]
+    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
     for i, (r, t) in enumerate(zip(rows, goal)):
         blocks = -(-r["size"] // BLOCK)
         # the last block is short: slots are counted by the mean length of a block
-        slots = min(LIMIT * blocks, round(t * blocks / r["size"])) if r["size"] else 0
-        r |= {"sid": i, "target": t, "blocks": blocks, "slots": slots}
-    left = np.array([r["slots"] for r in rows], np.int64)
-    shards, rng, drawn = max(1, round(int(left.sum()) / SHARD_SLOTS)), np.random.default_rng(seed), []
-    for k in range(shards):
-        got = rng.multivariate_hypergeometric(left, int(left.sum()) // (shards - k), method="marginals") if len(left) else left
-        drawn.append(got)
-        left = left - got
-    for i, r in enumerate(rows):
-        r["by_shard"] = [int(x[i]) for x in drawn]
+        r |= {"sid": i, "target": t, "blocks": blocks, "slots": min(LIMIT * blocks, round(t * blocks / r["size"])) if r["size"] else 0}
     return rows
 
 
-def _wide(x: Column) -> Column:
-    """Exact products of indexes beyond 2**31."""
-    return x.cast("decimal(18,0)")
-
-
-def _times_taken(block: Column) -> Column:
-    """How many slots take the block: whole passes, and the last pass if the block's place in it comes before its end.
-
-    P_e is an affine map of the index, x -> (a x + b) mod m with a prime to m;
-    the place of a block is found by the inverse of a.
-    """
-    full = F.floor(F.col("slots") / F.col("blocks"))
-    rest = F.col("slots") % F.col("blocks")
-    place = F.pmod(_wide(F.pmod(block - F.col("shift"), F.col("blocks"))) * _wide(F.col("inverse")), _wide(F.col("blocks"))).cast("long")
-    return (full + (place < rest).cast("long")).cast("long")
-
-
-def _permutation(m: int, seed: int, sid: int, turn: int) -> tuple[int, int]:
-    """a, b of the affine permutation of 0..m-1 for a source and pass."""
-    rng = np.random.default_rng([seed, sid, turn])
-    while True:
-        a, b = int(rng.integers(1, max(2, min(m, 1 << 31)))), int(rng.integers(0, max(1, m)))
-        if np.gcd(a, m) == 1:
-            return a, b
-
-
-def _source_table(docs: DataFrame, rows: list[dict], seed: int) -> DataFrame:
-    table = []
-    for r in rows:
-        if r["blocks"]:
-            a, b = _permutation(r["blocks"], seed, r["sid"], r["slots"] // r["blocks"])
-            table.append((r["source"], r["sid"], r["size"], r["target"], r["blocks"], r["slots"], b, pow(a, -1, r["blocks"]) if r["blocks"] > 1 else 0))
-        else:
-            table.append((r["source"], r["sid"], r["size"], r["target"], 1, 0, 0, 0))
-    return docs.sparkSession.createDataFrame(table, "s string, sid int, source_size long, target double, blocks long, slots long, shift long, inverse long")
+def _numbered(sized: DataFrame, rows: list[dict]) -> DataFrame:
+    """Adds sid, source_size, target, start (the document's first word in its source's sequence) and ordinal, which tells rows of one doc_id, text and source apart."""
+    known = [(r["source"], r["sid"], r["size"], r["target"], -(-r["rows"] // BUCKET_ROWS)) for r in rows]
+    table = sized.sparkSession.createDataFrame(known, "s string, sid int, source_size long, target double, buckets long")
+    own = sized.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th"), F.col("buckets"))).drop("buckets")
+    per = own.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = cut(per.select("sid", "bucket", before.alias("before")))
+    order = Window.partitionBy("sid", "bucket").orderBy("doc_id", "th")
+    within = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.withColumns({"within": within, "ordinal": F.row_number().over(order) - F.rank().over(order)})
+    return own.join(per, ["sid", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "bucket")
+
+
+def permuted(x: np.ndarray, m: int, *key: int) -> np.ndarray:
+    """The places of x (below m) in a pseudorandom permutation of 0..m-1: four Feistel rounds, repeated for what falls beyond m."""
+    half = max(1, (int(m - 1).bit_length() + 1) // 2)
+    mask, keys = U64((1 << half) - 1), scrambled(np.random.default_rng(key).integers(0, 1 << 63, 4).astype(U64))
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> U64(half), v & mask
+        for k in keys:
+            left, right = right, left ^ (scrambled(right ^ k) & mask)
+        return left << U64(half) | right
+
+    out = once(x.astype(U64))
+    while len(beyond := np.flatnonzero(out >= m)):
+        out[beyond] = once(out[beyond])
+    return out.astype(np.int64)
+
+
+def shard_counts(slots: int, shards: int, lo: int, hi: int, *key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a source's slots dealt to all shards: how many the shards lo to hi - 1 have, and how many those before each."""
+    first, count = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64)
+    todo = [(0, shards, 0, slots)]
+    while todo:
+        a, b, before, n = todo.pop()
+        if b <= lo or a >= hi:
+            continue
+        if b - a == 1:
+            first[a - lo], count[a - lo] = before, n
+            continue
+        middle = (a + b) // 2
+        left = int(np.random.default_rng([*key, a, b]).binomial(n, (middle - a) / (b - a))) if n else 0
+        todo += [(a, middle, before, left), (middle, b, before + left, n - left)]
+    return first, count
+
+
+def shards_of(rows: list[dict]) -> int:
+    return max(1, round(sum(r["slots"] for r in rows) / SHARD_SLOTS))
+
+
+def _slots(rows: list[dict], shards: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column("id").to_pylist():
+                lo, hi = task * SHARDS_OF_TASK, min(shards, (task + 1) * SHARDS_OF_TASK)
+                drawn = [(r, *shard_counts(r["slots"], shards, lo, hi, seed, r["sid"], 1)) for r in rows if r["slots"]]
+                for shard in range(lo, hi):
+                    sid, block = [], []
+                    for r, first, count in drawn:
+                        j = first[shard - lo] + np.arange(count[shard - lo])
+                        for turn in np.unique(j // r["blocks"]).tolist():
+                            of = j[j // r["blocks"] == turn] - turn * r["blocks"]
+                            block.append(permuted(of, r["blocks"], seed, r["sid"], 2, turn))
+                            sid.append(np.full(len(of), r["sid"], np.int32))
+                    if block:
+                        order = np.random.default_rng([seed, shard, 3]).permutation(sum(map(len, block)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), shard)), pa.array(np.arange(len(order))), pa.array(np.concatenate(sid)[order]), pa.array(np.concatenate(block)[order])], names=["shard", "slot", "sid", "block"])
+
+    return run
+
+
+def slot_table(spark: SparkSession, rows: list[dict], seed: int = SEED) -> DataFrame:
+    """The output in order: shard, slot, sid and block, drawn from `plan`'s rows on the executors."""
+    slim, shards = [{c: r[c] for c in ("sid", "slots", "blocks")} for r in rows], shards_of(rows)
+    tasks = -(-shards // SHARDS_OF_TASK)
+    return spark.range(0, tasks, 1, min(tasks, 1 << 16)).mapInArrow(_slots(slim, shards, seed), "shard long, slot long, sid int, block long")
 
 
 def pieces(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The blocks of every document that has words: doc_id, th, block, lo, hi (its words there), times, and the source's figures."""
-    numbered = cut(_numbered(docs))
-    table = F.broadcast(_source_table(docs, plan(numbered, seed), seed))  # one row a source
-    with_plan = numbered.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    """The blocks of every document (a null block where it has no words): its key, block, lo, hi (its words there), times, and the source's figures."""
+    sized = _sized(docs)
+    rows = plan(sized)
+    times = slot_table(docs.sparkSession, rows, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
-    out = with_plan.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    return out.withColumns(
-        {
-            "lo": F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)),
-            "hi": F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")),
-            "times": F.coalesce(_times_taken(F.col("block")), F.lit(0)),
-        }
-    )
+    out = _numbered(sized, rows).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+    out = out.withColumns({"lo": F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)), "hi": F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size"))})
+    dealt = out.filter("block is not null").join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return dealt.unionByName(out.filter("block is null").withColumn("times", F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, and ranges, its word ranges that are taken with their times."""
+    """One row per row of docs: doc_id, th, sid, ordinal, size, source_size, target, taken, and ranges, its word ranges that are taken with their times."""
     taken = F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0))
-    got = pieces(docs, seed)
-    # a document's pieces are consecutive rows of one task, so this is a narrow sum followed by a small shuffle
-    return got.groupBy("doc_id", "th", "source", "ordinal", "start", "size", "source_size", "target").agg(F.sum(taken).alias("taken"), F.array_sort(F.collect_list(F.when(F.col("times") > 0, F.struct("lo", "hi", "times")))).alias("ranges"))
-
-
-def slot_table(docs: DataFrame, rows: list[dict], seed: int = SEED) -> DataFrame:
-    """The output in order: shard, slot, sid and block, made from `plan`'s rows on the executors."""
-    starts, runs = {r["sid"]: 0 for r in rows}, []
-    for k in range(len(rows[0]["by_shard"]) if rows else 0):
-        at = 0
-        for r in rows:
-            n = r["by_shard"][k]
-            if n:
-                runs.append((k, at, r["sid"], starts[r["sid"]], n, r["blocks"]))
-            at, starts[r["sid"]] = at + n, starts[r["sid"]] + n
-    affine = [(r["sid"], e, *_permutation(r["blocks"], seed, r["sid"], e)) for r in rows if r["blocks"] for e in range(LIMIT + 1)]
-    spark = docs.sparkSession
-    perms = F.broadcast(spark.createDataFrame(affine, "sid int, turn long, a long, b long"))
-    one = spark.createDataFrame(runs, "shard int, at long, sid int, first long, n long, blocks long").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    one = one.withColumn("turn", F.floor((F.col("first") + F.col("i")) / F.col("blocks")))
-    return one.join(perms, ["sid", "turn"]).select("shard", (F.col("at") + F.col("i")).alias("slot"), "sid", F.pmod(F.pmod(_wide(F.col("a")) * _wide(F.pmod(F.col("first") + F.col("i"), F.col("blocks"))), _wide(F.col("blocks"))).cast("long") + F.col("b"), F.col("blocks")).alias("block"))
+    key = ["doc_id", "th", "sid", "ordinal", "start", "size", "source_size", "target"]
+    return pieces(docs, seed).groupBy(*key).agg(F.sum(taken).alias("taken"), F.array_sort(F.collect_list(F.when(F.col("times") > 0, F.struct("lo", "hi", "times")))).alias("ranges"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,18 +203,21 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix as rows of documents: for each pass, what it takes of a document (pieces joined by a newline)."""
-    dealt = cut(mix(docs, seed).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("source").alias("o"), "ordinal", "size", "taken", "ranges"))
-    repeated = cut(dealt.filter("ordinal = 1").select(F.col("d").alias("rd"), F.col("t").alias("rt"), F.col("o").alias("ro")))
-    taken, few = dealt.filter("taken > 0").drop("taken"), light(repeated, "64")
+    # sids follow the names of the sources, so rows of one doc_id and text have the same order by either
+    dealt = cut(mix(docs, seed).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "sid", "ordinal", "size", "taken", "ranges"))
+    twice = cut(dealt.groupBy("d", "t").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("rd"), F.col("t").alias("rt")))
+    again = F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt"))
+    taken = dealt.filter("taken > 0").drop("taken")
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("th"))
-    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")) & F.col("source").eqNullSafe(F.col("o"))
-    again = F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")) & F.col("o").eqNullSafe(F.col("ro"))
-    both = keyed.join(light(cut(taken.join(few, again, "left_anti")), "24 * size(ranges) + 64"), here).drop("ordinal")
-    if not repeated.isEmpty():  # only repeated rows are numbered, by a shuffle of their texts
-        copies = keyed.join(few, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt")) & F.col("source").eqNullSafe(F.col("ro")), "left_semi")
-        copies = copies.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "th", "source").orderBy("lang")) - 1)
-        both = both.unionByName(copies.join(taken.join(few, again, "left_semi"), here & (F.col("copy") == F.col("ordinal"))).drop("copy", "ordinal"))
+    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    both = keyed.join(cut(taken.join(twice, again, "left_anti")), here).drop("sid", "ordinal")
+    if not twice.isEmpty():  # only repeated rows are numbered, by a shuffle of their texts
+        copies = keyed.join(twice, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt")), "left_semi")
+        copies = copies.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.asc_nulls_last("source"), "lang")))
+        order = Window.partitionBy("d", "t").orderBy("sid", "ordinal")
+        numbered = dealt.join(twice, again, "left_semi").withColumn("nth", F.row_number().over(order)).filter("taken > 0").drop("taken")
+        both = both.unionByName(copies.join(numbered, here & (F.col("copy") == F.col("nth"))).drop("copy", "nth", "sid", "ordinal"))
     return both.select("doc_id", "text", "lang", "source", "size", "ranges").mapInArrow(_texts, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-__all__ = ["mix", "mixed_documents", "pieces", "plan", "slot_table", "targets"]
+__all__ = ["mix", "mixed_documents", "permuted", "pieces", "plan", "shard_counts", "slot_table", "targets"]
