@@ -7,11 +7,15 @@ shards is split in two along the dimension in which its documents spread most
 bytes below are the share of the shards below. Leaves are the shards.
 
 Documents with one text form a group, which is one point of the tree, so a
-group stays in one shard; a group of more than SPLIT of a shard's bytes is dealt
-into several points. Medians are found by histograms that every level refines:
-per round each open node sends BINS numbers to the driver, so no task sees all
-the rows of a node and nothing the driver holds grows with the corpus. Rows
-with the same value as the median are told apart by the hash of their text.
+group stays in one shard. Points of more than LARGE of a shard's bytes would
+tip the medians: they are dealt to the shards first, the largest to the emptiest,
+and the tree's leaves get the room that is left, as if filled with water. Only a
+group that can't fit a shard is dealt into several points, row by row.
+Medians are found by histograms that every level refines: per round each open
+node sends BINS numbers to the driver, so no task sees all the rows of a node
+and nothing the driver holds grows with the corpus (points above LARGE are fewer
+than shards / LARGE). Rows with the same value as the median are told apart by
+the hash of their text.
 
 Null texts have 8 bytes; nulls are a value of their own in every dimension.
 Only DataFrame functions run on the executors.
@@ -27,9 +31,11 @@ from .frames import cut
 
 BINS = 512
 ROUNDS = 3
-SPLIT = 0.2
-#: Parts of a shard that are numbered apart.
-BUCKETS = 32
+LARGE = 0.01
+#: Most of a shard that one point takes.
+MOST = 0.9
+#: Rows of a shard that are numbered together.
+BUCKET_ROWS = 10_000
 
 DIMENSIONS = ("length", "source", "lang", "doc")
 
@@ -39,20 +45,36 @@ def _hash01(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Rows without their text, and the points: one for each group, several for a very large one."""
+def _rows(docs: DataFrame, shards: int) -> tuple[DataFrame, int, int]:
+    """Rows without their text, told apart by rid, with the point (g, part) that each belongs to; their number and bytes."""
     rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"), F.md5(F.coalesce("text", F.lit(""))).alias("g"),
         F.coalesce(F.length("text"), F.lit(-1)).cast("double").alias("length"), F.coalesce(_hash01("source"), F.lit(-1.0)).alias("source"), F.coalesce(_hash01("lang"), F.lit(-1.0)).alias("lang"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("doc"),
+        F.monotonically_increasing_id().alias("rid"),
     )
     rows = cut(rows)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"))
-    large = groups.filter(F.col("bytes") > SPLIT * total / max(1, shards)).withColumn("parts", F.ceil(F.col("bytes") / (SPLIT * total / max(1, shards))).cast("int")).drop("bytes")
-    # groups that large are fewer than shards / SPLIT
-    rows = rows.join(F.broadcast(large), "g", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
-    points = rows.groupBy("g", "part").agg(F.sum("size").alias("w"), *(F.min(c).alias(c) for c in DIMENSIONS)).withColumn("tie", _hash01("g", "part"))
-    return rows, points
+    n, total = rows.agg(F.count("*"), F.sum("size")).first()
+    most = MOST * (total or 0) / shards
+    # fewer than shards / MOST groups don't fit
+    large = cut(rows.groupBy("g").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most).select("g", F.ceil(F.col("bytes") / (0.9 * most)).cast("int").alias("parts")))
+    rows = rows.join(large, "g", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    return rows, n, total or 0
+
+
+def _dealt(large: list[int], shards: int, rest: int) -> tuple[list[int], list[float]]:
+    """The shard of each large point (in descending order), and the room for other bytes in every shard."""
+    full, at = [0] * shards, []
+    for w in large:
+        k = min(range(shards), key=lambda i: (full[i], i))
+        at.append(k)
+        full[k] += w
+    # the level at which the room below it is the rest
+    level, order = 0.0, sorted(full)
+    for i in range(1, shards + 1):
+        level = (rest + sum(order[:i])) / i
+        if i == shards or level <= order[i]:
+            break
+    return at, [max(0.0, level - f) for f in full]
 
 
 def _case(node: Column, values: dict[int, object], default: object) -> Column:
@@ -85,8 +107,9 @@ def _medians(points: DataFrame, value: Column, active: dict[int, tuple[float, fl
     return {n: (a[0], a[1], a[3], last.get(n, 0)) for n, a in active.items()}
 
 
-def kd_tree(points: DataFrame, shards: int) -> tuple[DataFrame, list[dict]]:
-    """Adds the shard of every point, and gives the splits of the tree from the root."""
+def kd_tree(points: DataFrame, room: list[float]) -> tuple[DataFrame, list[dict]]:
+    """Adds the shard of every point, in proportion to the shards' room, and gives the splits of the tree from the root."""
+    shards = len(room)
     points = cut(points.withColumn("node", F.lit(1)))
     span = points.agg(*(F.min(c).alias(f"lo_{c}") for c in DIMENSIONS), *(F.max(c).alias(f"hi_{c}") for c in DIMENSIONS)).first()
     whole = {c: max((span[f"hi_{c}"] or 0) - (span[f"lo_{c}"] or 0), 1e-9) for c in DIMENSIONS}
@@ -105,7 +128,7 @@ def kd_tree(points: DataFrame, shards: int) -> tuple[DataFrame, list[dict]]:
             r = box[n]
             dims[n] = max(DIMENSIONS, key=lambda c: (r[f"hi_{c}"] - r[f"lo_{c}"]) / whole[c])
             lo, hi = r[f"lo_{dims[n]}"], r[f"hi_{dims[n]}"]
-            active[n] = (lo, hi + max(abs(hi), 1.0) * 1e-9, r["w"] * ((a + b) // 2 - a) / (b - a), 0)
+            active[n] = (lo, hi + max(abs(hi), 1.0) * 1e-9, r["w"] * sum(room[a : (a + b) // 2]) / (sum(room[a:b]) or 1.0), 0)
         value = F.lit(0.0)
         for c in DIMENSIONS:
             if some := [n for n, d in dims.items() if d == c]:
@@ -129,12 +152,20 @@ def kd_tree(points: DataFrame, shards: int) -> tuple[DataFrame, list[dict]]:
 
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    rows, points = _points(docs, shards)
-    placed, _ = kd_tree(points, shards)
-    rows = cut(rows.select("doc_id", "size", "text_crc32", "g", "part").join(placed.select("g", "part", "shard"), ["g", "part"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "g"), F.lit(BUCKETS)).cast("int")))
+    rows, n, total = _rows(docs, shards)
+    rows = cut(rows)
+    points = cut(rows.groupBy("g", "part").agg(F.sum("size").alias("w"), *(F.min(c).alias(c) for c in DIMENSIONS)).withColumn("tie", _hash01("g", "part")))
+    limit = LARGE * total / shards
+    # fewer than shards / LARGE rows
+    large = points.filter(F.col("w") > limit).select("g", "part", "w").orderBy(F.desc("w"), "g", "part").collect()
+    at, room = _dealt([r["w"] for r in large], shards, total - sum(r["w"] for r in large))
+    first = docs.sparkSession.createDataFrame([(r["g"], r["part"], k) for r, k in zip(large, at)], "g string, part int, shard int")
+    placed, _ = kd_tree(points.filter(F.col("w") <= limit), room)
+    placed = placed.select("g", "part", "shard").unionByName(first)
+    buckets = max(1, -(-n // (shards * BUCKET_ROWS)))
+    rows = cut(rows.select("doc_id", "size", "text_crc32", "g", "part", "rid").join(placed, ["g", "part"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "g", "rid"), F.lit(buckets)).cast("int")))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    # shards * BUCKETS rows
-    before = F.broadcast(counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n"))
+    before = cut(counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n"))
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "g"))
     out = rows.withColumn("within", within).join(before, ["shard", "bucket"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
