@@ -1,11 +1,12 @@
 """Secrets in text: fixed patterns, and strings that a tokenizer finds improbable.
 
 Base kinds: assign (password=...), access (AKIA...), hex (24 digits or more).
-The token-efficiency test adds kind `token`: a run of 20 or more key-like
-characters that mixes digits, upper and lower case is random if a tiktoken
-vocabulary needs many tokens for it (under MAX_RATIO characters a token).
-Known digests (all hex of a usual length, with or without a prefix such as
-sha256-), UUIDs, paths, and runs inside a base span are excluded.
+The token-efficiency test adds kind `token`: a run of MIN_RUN or more key-like
+characters, of whatever classes, is random if a tiktoken vocabulary needs many
+tokens for it (under MAX_RATIO characters a token). Excluded are known digests
+(all hex of a usual length, with or without a prefix such as sha256-), UUIDs,
+numbers, identifiers and paths (every part between separators is a number or
+one that the vocabulary knows well), and runs inside a base span.
 
 A null or empty text has no spans. Spans are in code points, end exclusive.
 """
@@ -29,6 +30,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGEST = re.compile(r"(?i:(?:md5|sha1|sha224|sha256|sha384|sha512)[-_:=]?)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
+_SEPARATOR = re.compile(r"[/_=+-]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
@@ -40,11 +42,17 @@ class RandomTest:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def ratio(self, run: str) -> float:
+        return len(run) / len(self.encoding.encode_ordinary(run))
+
+    def _named(self, run: str) -> bool:
+        parts = [p for p in _SEPARATOR.split(run) if p]
+        return len(parts) > 1 and all(p.isdigit() or self.ratio(p) >= min(MAX_RATIO, len(p)) for p in parts)
+
     def __call__(self, run: str) -> bool:
-        kinds = any(c.isdigit() for c in run) + any(c.isupper() for c in run) + any(c.islower() for c in run)
-        if kinds < 3 or run.count("/") > 3 or _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
+        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or not any(c.isalpha() for c in run):
             return False
-        return len(run) < MAX_RATIO * len(self.encoding.encode_ordinary(run))
+        return self.ratio(run) < MAX_RATIO and not self._named(run)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
