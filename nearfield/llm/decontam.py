@@ -20,7 +20,7 @@ At similarity 0.8 the expected distance is about 9 bits (standard deviation
 
 Only DataFrame functions are used. Texts or items under five words are one
 shingle of all their words; null and empty ones match nothing. Rows with the
-same doc_id are reported once; so are items with the same item_id, by the best
+same doc_id are reported once, but `decontaminate` drops only those whose text leaks; so are items with the same item_id, by the best
 window of any of their texts. A null item_id is an id. A document shorter than an item is one window.
 """
 
@@ -31,7 +31,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, light, narrow
+from .frames import cut, narrow
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -114,6 +114,12 @@ def _starts() -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated documents: doc_id, item_id, start (first word of the best window), shared, united (weights)."""
+    best = _leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "shared", "united"), F.struct(F.col("shared") / F.col("united"), -F.col("start"), "shared")).alias("b"))
+    return best.select("doc_id", "item_id", "b.start", "b.shared", "b.united")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every window that reaches the threshold of an item: doc_id, th (hash of the text), item_id, start, shared, united."""
     # items go by the hash of their text; the ids, which may be null or repeated, are met again at the end
     items = cut(_shingled(benchmark.select("item_id", "text", F.xxhash64("text").alias("item"))).filter("n > 0").select("item_id", "item", "n", "s"))
     ids = items.select("item_id", "item").distinct()
@@ -123,7 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _shingled(keyed).select("doc_id", "th", "n", F.posexplode_outer("s").alias("pos", "h")).join(narrow(places), "h")
     at = found.groupBy("doc_id", "th", "n", "item", "item_n").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
     starts = at.select("doc_id", "th", "item_n", F.explode(_starts()).alias("start")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "item_n")).alias("ws"))
-    starts = light(cut(starts), "16 * size(ws) + 32").withColumnsRenamed({"doc_id": "d", "th": "t"})
+    starts = cut(starts).withColumnsRenamed({"doc_id": "d", "th": "t"})
     some = keyed.join(starts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["doc_id", "th"])
     windows = _shingled(some).select("doc_id", "th", "s", F.explode("ws").alias("w")).select("doc_id", "th", "w.start", "w.item_n", F.slice("s", F.col("w.start") + 1, F.greatest(F.col("w.item_n") - (SHINGLE - 1), F.lit(1))).alias("s"))
     weighted = cut(windows.select("doc_id", "th", "start", "item_n", F.explode("s").alias("h")).groupBy("doc_id", "th", "start", "item_n", "h").agg(F.count("*").alias("c")))
@@ -137,12 +143,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = shared.groupBy("doc_id", "th", "start", "item_n", "item").agg(F.sum(F.least("c", "c2")).alias("shared"))
     exact = shared.join(renamed(total), null_safe).drop("d", "t", "st", "i_n").join(item_total, "item").withColumn("united", F.col("total") + F.col("item_total") - F.col("shared"))
     exact = exact.filter(F.col("shared") * 100 >= F.col("united") * THRESHOLD)
-    best = exact.join(ids, "item").groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "shared", "united"), F.struct(F.col("shared") / F.col("united"), -F.col("start"), "shared")).alias("b"))
-    return best.select("doc_id", "item_id", "b.start", "b.shared", "b.united")
+    return exact.join(ids, "item").select("doc_id", "th", "item_id", "start", "shared", "united")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item."""
-    found = cut(leaks(docs, benchmark).select("doc_id").distinct())
-    found = narrow(found).withColumnRenamed("doc_id", "leaking")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaking"]), "left_anti")
+    found = cut(_leaks(docs, benchmark).select("doc_id", "th").distinct())
+    found = found.withColumnsRenamed({"doc_id": "leaking", "th": "leaking_text"})
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaking"]) & (F.xxhash64(docs["text"]) == found["leaking_text"]), "left_anti")
