@@ -17,18 +17,22 @@ frequent, which keeps subtrees small; large ones are dealt in parts.
 
 1. One pass over the text: set size, set hash (equal sets form a class), point,
    and the sketch. 2. Subtrees: shingle -> classes; equal lists are kept once, and
-   a shingle counted in more than PART sets is dealt in parts. 3. Each class is
-   compared with the least class of its subtree; those verified link. 4. Subtrees
-   that still hold several components go through the tree, part by part: of the
-   pairs that its bound leaves, each that joins two components of the subtree is
-   a link to be verified, so there are fewer links than members. Where a link
-   fails, the subtree is searched again without it, until none does.
+   a shingle counted in more than PART sets is dealt in parts. 3. In a subtree
+   that is dealt, each class is compared with the least class of its part; those
+   verified link. 4. Subtrees that hold several components go through the tree,
+   part by part: of the pairs that its bound leaves, in the order of their
+   classes, each that joins two components of the subtree is a link to be
+   verified, so there are fewer links than members. 5. Subtrees of which a link
+   has failed are searched again: all pairs that are left between components,
+   as verified by now, and haven't failed are verified. Those are pairs close
+   to the threshold; copies are in one component by then.
 Components of the links are exact: a pair is left out only if it can't reach
 the threshold or its documents are in one component already.
 
-A point has a power of two of groups, at least twice the set's size, so that the
-bound is tight for long texts too; adjacent groups are summed to compare two
-points of different length, and to get the tree's own COARSE groups.
+A point has FINE groups, and for long texts more, a power of two that is at least
+a quarter of the set's size (with four members a group, unrelated sets seem to
+share three quarters, where 8 / 9 are needed); adjacent groups are summed to
+compare two points of different length, and to get the tree's own COARSE groups.
 
 Texts without words have an empty set and are linked with nothing; with fewer
 than five words the whole sequence is one shingle. Rows with equal sets,
@@ -53,6 +57,8 @@ from .textkit import U64, chunks, lowered, mix, shingle_hashes, shingle_set, wor
 SHINGLE = 5
 #: Groups that the tree's boxes have.
 COARSE = 64
+#: Least number of groups of a point.
+FINE = 512
 FANOUT = 16
 #: Cells of each row of the sketch, 4 bytes each: a fixed size, sent to every task.
 SKETCH = 1 << 17
@@ -78,7 +84,7 @@ def set_key(s: np.ndarray) -> int:
 
 def point(s: np.ndarray) -> bytes:
     """Counts of a set's groups as the narrowest unsigned integers that hold the largest, after a byte for their width."""
-    bits = max(COARSE.bit_length() - 1, int(2 * len(s) - 1).bit_length() if len(s) else 0)
+    bits = max(FINE.bit_length() - 1, (max(len(s) - 1, 0) // 4).bit_length())
     counts = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
     narrow_type = np.min_scalar_type(int(counts.max()))
     return bytes([narrow_type.itemsize]) + counts.astype(narrow_type).tobytes()
@@ -268,7 +274,7 @@ PAIRS = 1 << 12
 
 
 def _tree_links(table: pa.Table) -> pa.Table:
-    """Links between components in a subtree (or two parts of one), by the pairs that the tree can't exclude and that haven't failed (rows of kind 1)."""
+    """Links between components in a subtree (or two parts of one), by the pairs that the tree can't exclude; if some have failed (rows of kind 1), all other pairs."""
     kind = table.column("kind").to_numpy()
     failed = table.filter(pa.array(kind == 1))
     table = table.filter(pa.array(kind == 0))
@@ -283,6 +289,9 @@ def _tree_links(table: pa.Table) -> pa.Table:
         x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         a, b = CountTree(coarse[x], sizes[x], comp[x]).pairs(CountTree(coarse[y], sizes[y], comp[y])) if len(x) and len(y) else (x[:0], y[:0])
         a, b = x[a], y[b]
+    first, second = np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
+    order = np.lexsort((second, first))  # subtrees with the same members then propose the same links
+    a, b = a[order], b[order]
     for k in range(0, len(a), PAIRS):
         i, j = a[k : k + PAIRS], b[k : k + PAIRS]
         apart = comp[i] != comp[j]
@@ -294,7 +303,8 @@ def _tree_links(table: pa.Table) -> pa.Table:
                     pair = (int(min(cls[u], cls[v])), int(max(cls[u], cls[v])))
                     if pair not in no:
                         out.append(pair)
-                        comp[comp == comp[v]] = comp[u]
+                        if not no:
+                            comp[comp == comp[v]] = comp[u]
     first = (failed if not table.num_rows else table).slice(0, 1)
     key = {c: pa.array(np.full(len(out), first.column(c)[0].as_py()), t) for c, t in (("shingle", pa.int64()), ("p", pa.int32()), ("q", pa.int32()))}
     return pa.table(key | {"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
@@ -354,26 +364,23 @@ def similar(docs: DataFrame) -> DataFrame:
     lists = each.repartition("shingle", "part").groupBy("shingle", "part", "parts").agg(F.sort_array(F.collect_set("cls")).alias("list"))
     small = lists.filter("parts = 1 and size(list) > 1").groupBy("list").agg(F.min("shingle").alias("shingle"), F.first("part").alias("part"), F.first("parts").alias("parts"))
     subtrees = cut(small.select("shingle", "part", "parts", "list").unionByName(lists.filter("parts > 1").select("shingle", "part", "parts", "list")))
-    # step 3: stars around the least class of each list, and of all parts of a subtree
-    star = subtrees.select(F.col("list")[0].alias("a"), F.explode("list").alias("b"))
-    heads = subtrees.filter("parts > 1").groupBy("shingle").agg(F.min(F.col("list")[0]).alias("a")).join(subtrees.filter("parts > 1").select("shingle", F.col("list")[0].alias("b")), "shingle").select("a", "b")
+    # step 3: stars around the least class of each part, and of all parts of a subtree
+    dealt = subtrees.filter("parts > 1")
+    star = dealt.select(F.col("list")[0].alias("a"), F.explode("list").alias("b"))
+    heads = dealt.groupBy("shingle").agg(F.min(F.col("list")[0]).alias("a")).join(dealt.select("shingle", F.col("list")[0].alias("b")), "shingle").select("a", "b")
     known = classes.select("cls", "n", "point")
     at = lambda c: known.withColumnsRenamed({"cls": c, "n": f"n{c}", "point": f"p{c}"})
     near = star.unionByName(heads).filter("a < b").distinct().join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long")
     links = cut(_verified(cut(near), docs, classes))
-    # step 4: until every link that the trees propose is verified
+    # steps 4 and 5
     failed = None
-    while True:
-        comps = components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp"))
-        found = cut(_search(subtrees, known, cut(comps), failed))
-        if found.isEmpty():
+    for _ in range(2):
+        comps = cut(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")))
+        found = cut(_search(subtrees, known, comps, failed))
+        good = cut(_verified(found.select("a", "b").distinct(), docs, classes))
+        links, failed = cut(links.unionByName(good)), cut(found.join(good, ["a", "b"], "left_anti"))
+        if failed.isEmpty():
             break
-        good = cut(_verified(cut(found.select("a", "b").distinct()), docs, classes))
-        bad = found.join(good, ["a", "b"], "left_anti")
-        if bad.isEmpty():
-            links = links.unionByName(good)
-            break
-        links, failed = cut(links.unionByName(good)), cut(bad if failed is None else failed.unionByName(bad))
     last = components(links, "a", "b")
     named = last.join(classes.select("cls", "rep"), F.col("node") == F.col("cls")).select("cls", "component", "rep")
     lowest = named.groupBy("component").agg(F.min("rep").alias("least"))
@@ -383,7 +390,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
 
 def _search(subtrees: DataFrame, known: DataFrame, comps: DataFrame, failed: DataFrame | None) -> DataFrame:
-    """Links that the trees of subtrees with several components propose; after the first round only of those in which one has failed."""
+    """Links that the trees of subtrees with several components propose; after the first search only of those in which one has failed."""
     place = subtrees.select("shingle", "part", F.explode("list").alias("cls")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = place.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("shingle")
     if failed is not None:
