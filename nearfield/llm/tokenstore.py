@@ -8,10 +8,13 @@ takes the seek table from the end of the file, the document table before it,
 and decompresses only the frames that hold the documents asked for.
 
 Ids are little-endian, 2 bytes wide if every id of the vocabulary fits, else 4.
-File number p holds the p-th range of doc_id, in ascending order (null first;
-equal doc_ids by text), so files in order are the corpus in order. A file is
+A file holds a range of doc_id, in ascending order (null first;
+equal doc_ids by a hash of the text), so files in order are the corpus in order. A file is
 written under a name of its task attempt and then renamed: a repeated attempt
-replaces a file by the same bytes. Empty and null texts are the end id alone.
+replaces a file by the same bytes. A file is closed at FILE_BYTES of ids, so no
+file or table of documents grows with the corpus. Empty and null texts are the
+end id alone; strings of special tokens in a text are those tokens, as the
+library has them by default.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,11 @@ from pyspark.sql.window import Window
 from .frames import cut, workdir
 
 FRAME_BYTES = 1 << 17
-#: Pieces whose ids a worker remembers from task to task, about 220 bytes each.
-CACHE = 900_000
+#: Bytes of ids after which a file is closed.
+FILE_BYTES = 1 << 28
+#: Most bytes of pieces and ids that a worker remembers from task to task, each taken with PIECE bytes of its own.
+CACHE_BYTES = 200 << 20
+PIECE = 200
 NULL_ID = -(1 << 63)
 
 # Fixed values of the seekable zstandard format.
@@ -56,12 +63,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # ours replaces it
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self._ids("\n")
         self.cache: dict[str, bytes | None] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -87,13 +95,15 @@ class Encoder:
                     self.cache[p] = np.array(self._ids(p if p[0] == "\n" else " " + p), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        split = [t.replace("\n", " \n").split(" ") if t and " \n" not in t else None for t in texts]
+            self.held = 0
+        split = [t.replace("\n", " \n").split(" ") if t and " \n" not in t and not any(x in t for x in self.special) else None for t in texts]
         new = {p for s in split if s for p in s[1:]}
         new.difference_update(self.cache)
         if new:
             self._learn(list(new))
+            self.held += sum(PIECE + 2 * len(p) for p in new)
         out = []
         for t, s in zip(texts, split):
             ids = None
@@ -106,14 +116,14 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary: workers outlive tasks, and functions sent by value don't."""
-    import tokenizers
+_encoders: dict[str, Encoder] = {}
+
 
-    kept = vars(tokenizers).setdefault("_worker_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary, kept for its next task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class Writer:
@@ -194,35 +204,46 @@ class Reader:
         return np.arange(*(int(np.searchsorted(self.docs[:, 0], key, s)) for s in ("left", "right")))
 
 
-def _write(folder: str, vocabulary: str, end_id: int):
+def _write(folder: str, vocabulary: str, end_id: int, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root)
         part, own = task.partitionId(), encoder(vocabulary)
-        name, draft = f"{root}/ids-{part:06d}.zst", f"{root}/.{part}-{task.taskAttemptId()}"
-        end = np.array([end_id], own.dtype).tobytes()
-        n_docs = 0
-        with fs.open_output_stream(draft, compression=None) as sink:
-            writer = Writer(sink, own.dtype.itemsize)
+        end, width = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize
+
+        def encoded() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 for a in range(0, batch.num_rows, 256):
                     some = batch.slice(a, 256)
                     for doc, ids in zip(some.column("doc_id").to_pylist(), own.encode([t or "" for t in some.column("text").to_pylist()])):
-                        writer.add(doc, ids + end)
-                n_docs += batch.num_rows
-            writer.close()
-        fs.move(draft, name)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part]), "path": [f"{folder}/ids-{part:06d}.zst"], "n_docs": pa.array([n_docs]), "n_ids": pa.array([sum(d[1] for d in writer.docs)], pa.int64())})
+                        yield doc, ids + end
+
+        docs = encoded()
+        ahead = next(docs, None)
+        for nth in count():
+            if ahead is None:
+                return
+            name, draft = f"ids-{part:06d}-{nth:04d}.zst", f"{root}/.{part}-{task.taskAttemptId()}-{nth}"
+            with fs.open_output_stream(draft, compression=None) as sink:
+                writer, size = Writer(sink, width), 0
+                while ahead is not None and size < file_bytes:
+                    writer.add(*ahead)
+                    size += len(ahead[1])
+                    ahead = next(docs, None)
+                writer.close()
+            fs.move(draft, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part << 20 | nth]), "path": [f"{folder}/{name}"], "n_docs": pa.array([len(writer.docs)]), "n_ids": pa.array([size // width], pa.int64())})
 
     return run
 
 
-def write_ids(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> DataFrame:
+def write_ids(docs: DataFrame, vocabulary: str, end_id: int, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every text, write the files to `folder` (a URI all executors reach); one row per file: part, path, n_docs, n_ids, start."""
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    files = cut(ordered.mapInArrow(_write(folder, vocabulary, end_id), "part long, path string, n_docs long, n_ids long"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th")]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).repartitionByRange(*order).sortWithinPartitions(*order, "text").drop("th")
+    files = cut(ordered.mapInArrow(_write(folder, vocabulary, end_id, file_bytes), "part long, path string, n_docs long, n_ids long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
