@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Their verdict depends on text and language, so rows that share a doc_id agree only if these do."""
     judged = quality.quality(docs.withColumn("doc_id", F.xxhash64("text", "lang")))
-    bad = frames.narrow(frames.cut(judged.filter("not kept").select("doc_id").distinct())).withColumnRenamed("doc_id", "rejected")
+    bad = frames.cut(judged.filter("not kept").select(F.col("doc_id").alias("rejected")).distinct())
     return docs.join(bad, F.xxhash64("text", "lang") == F.col("rejected"), "left_anti").select(*COLUMNS)
 
 
