@@ -19,7 +19,10 @@ library has them by default.
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from itertools import count
@@ -51,79 +54,99 @@ _SEEKABLE = 0x8F92EAB1
 _CHECKSUMS = 0x80
 
 
+class _Whole(Exception):
+    """A text that can't be put together from pieces."""
+
+
+#: Words that the byte-level rule takes as one piece, and the ASCII punctuation after them as another.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
+
+
+class _Pieces(dict):
+    """Ids of pieces between spaces, as bytes; a new piece is learnt when it is asked for."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self[piece] = self.learn(piece)
+        return out
+
+
 class Encoder:
     """A byte-level BPE tokenizer that remembers the ids of pieces between spaces.
 
     Text is cut where a space or a newline stands between two characters that
     are no white space; the tokenizer's own rule never joins across such a
-    place. Texts with other runs of white space are encoded whole.
+    place. Plain words go to the library's merges as they are, other pieces
+    through its whole rule. Texts with other runs of white space, or with the
+    string of a special token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         if hasattr(self.tok.model, "_resize_cache"):
             self.tok.model._resize_cache(0)  # ours replaces it
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.newline = self._ids("\n")
-        self.cache: dict[str, bytes | None] = {}
-        self.held = 0
+        self.newline = self._packed(self._ids("\n"))
+        self.model, self.held = self.tok.model, 0
+        self.pieces, self.marks = _Pieces(self._learn), _Pieces(self._mark)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {x: byte_level.pre_tokenize_str(chr(x))[0][0] for x in range(0xC0, 0x250)}
+        self.space = byte_level.pre_tokenize_str(" ")[0][0]
+        self.plain = self.tok.normalizer is None and isinstance(self.tok.pre_tokenizer, pre_tokenizers.ByteLevel)
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        good = []
-        for p in pieces:
-            body = p[1:] if p[0:1] == "\n" else p
-            if not body or body[0].isspace() or body[-1].isspace():
-                self.cache[p] = None
-            else:
-                good.append(p)
-        for a in range(0, len(good), 2000):
-            some = good[a : a + 2000]
-            ids = np.array(self._ids("".join(p if p[0] == "\n" else "\n " + p for p in some)), self.dtype)
-            at = np.flatnonzero(ids == self.newline[0]) if len(self.newline) == 1 else ids[:0]
-            if len(at) == len(some):
-                raw, w = ids.tobytes(), self.dtype.itemsize
-                for p, s, e in zip(some, at.tolist(), [*at[1:].tolist(), len(ids)]):
-                    self.cache[p] = raw[w * (s + (p[0] != "\n")) : w * e]
-            else:
-                for p in some:
-                    self.cache[p] = np.array(self._ids(p if p[0] == "\n" else " " + p), self.dtype).tobytes()
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _mark(self, marks: str) -> bytes:
+        return self._packed(self._ids(marks))
+
+    def _learn(self, piece: str) -> bytes:
+        self.held += PIECE + 2 * len(piece)
+        line = piece[:1] == "\n"
+        body = piece[1:] if line else piece
+        if self.plain and (m := _PLAIN.fullmatch(body)):
+            word = m[1] if body.isascii() else m[1].translate(self.letters)
+            out = self._packed([t.id for t in self.model.tokenize(word if line else self.space + word)])
+            if m[2]:
+                out += self.marks[m[2]]
+            return self.newline + out if line else out
+        if not body or body[0].isspace() or body[-1].isspace():
+            raise _Whole
+        return self._packed(self._ids(piece if line else " " + piece))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
-            self.cache.clear()
+            self.pieces.clear()
             self.held = 0
-        split = [t.replace("\n", " \n").split(" ") if t and " \n" not in t and not any(x in t for x in self.special) else None for t in texts]
-        new = {p for s in split if s for p in s[1:]}
-        new.difference_update(self.cache)
-        if new:
-            self._learn(list(new))
-            self.held += sum(PIECE + 2 * len(p) for p in new)
-        out = []
-        for t, s in zip(texts, split):
-            ids = None
-            if s:
-                rest = list(map(self.cache.__getitem__, s[1:]))
-                if s[0] and not s[0][-1].isspace() and None not in rest:
-                    head = np.array(self._ids(s[0]), self.dtype).tobytes()
-                    ids = head + b"".join(rest)
-            out.append(np.array(self._ids(t), self.dtype).tobytes() if ids is None else ids)
+        out, known = [], self.pieces.__getitem__
+        for t in texts:
+            try:
+                if not t or " \n" in t or any(x in t for x in self.special):
+                    raise _Whole
+                head, *rest = t.replace("\n", " \n").split(" ")
+                if not head or head[-1].isspace():
+                    raise _Whole
+                out.append(self._packed(self._ids(head)) + b"".join(map(known, rest)))
+            except _Whole:
+                out.append(self._packed(self._ids(t)))
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary, kept for its next task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder of a vocabulary, kept for its next task: in a module of this name, as functions that are sent by value bring globals of their own."""
+    held = vars(sys.modules.setdefault("nearfield_worker", types.ModuleType("nearfield_worker")))
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class Writer:

@@ -455,6 +455,20 @@ def test_special_tokens_and_small_files(spark, tmp_path):
     assert secrets.secret_spans(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_pieces_give_what_the_library_gives():
+    """Texts of odd spaces, letters, marks and special tokens, piece by piece and whole."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    tok, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokenstore.Encoder(P.path("byte_bpe_50k.json"))
+    parts = [" ", "\n", "  ", "\t", "a", "B", "é", "ß", "Ł", "ǅ", "'", "'s", "'t", "’", "1", "23", "_", "-", ".", "%%", "word", "Ünï", "日本", "ı", "º", "ª", "×", "÷", "\u0301", "\u00a0", "ll", "\r\n", "🙂", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    texts += [" ".join(rng.choice(parts[4:]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for t, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, own.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_random_keys_are_found_and_prose_is_left_alone(spark):
     """Recall of the added spans on keys of several alphabets, and spans in words that the same tables' prose has."""
     P = pytest.importorskip("public_tokenizers")
