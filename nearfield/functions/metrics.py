@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.operators.knn import knn
+
 
 def quality(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, hits, recall, precision, f1) by id; recall over the truth's length, precision over k."""
@@ -44,3 +46,39 @@ def mean_median(df: DataFrame, column: str) -> DataFrame:
 def spread(rows: DataFrame, by: str, label: str, value: str) -> DataFrame:
     """Largest and smallest value of each group, with their labels."""
     return rows.groupBy(by).agg(F.max(value).alias("hi"), F.min(value).alias("lo"), F.max_by(label, value).alias("hi_label"), F.min_by(label, value).alias("lo_label")).withColumn("spread", F.col("hi") - F.col("lo"))
+
+
+def nearest_truth(vectors: DataFrame, queries: DataFrame, truth: DataFrame, name: str) -> DataFrame:
+    """(query_id, distance) of each query to the nearest vector that is a true neighbour of any query."""
+    known = vectors.join(truth.select("vec_id").distinct(), "vec_id", "left_semi")
+    return knn(known, queries, 1, name).select("query_id", "distance")
+
+
+def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
+    """(bin, n): bin is the value's multiple of width, rounded down."""
+    return df.groupBy(F.floor(F.round(column, 6) / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def chart_lines(runs: DataFrame, by: str, *columns: str) -> DataFrame:
+    """(metric, by, value): the points of one line for each column, without rows that have no finite value."""
+    long = runs.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))).alias("p")).select("p.metric", by, "p.value")
+    return finite(long, "value")
+
+
+def chart_bars(runs: DataFrame, by: str, order: str, *columns: str) -> DataFrame:
+    """(metric, by, value, rnk): the values of each group's last row in `order`, ascending within a metric; ties by name."""
+    last = runs.groupBy(by).agg(*(F.max_by(c, order).alias(c) for c in columns))
+    bars = chart_lines(last, by, *columns)
+    return bars.withColumn("rnk", F.row_number().over(Window.partitionBy("metric").orderBy("value", by)))  # a row a group
+
+
+def finite(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is a number that isn't infinite."""
+    x = F.col(column)
+    return df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def mismatches(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, rnk, found, truth): places at which results and true neighbours name different vectors."""
+    found = results.select("query_id", "rnk", F.col("vec_id").alias("found"))
+    return found.join(truth.select("query_id", "rnk", F.col("vec_id").alias("truth")), ["query_id", "rnk"]).filter("found <> truth")

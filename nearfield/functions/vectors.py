@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.plans.store import cut
+
 PRIME = 2147483647
 
 
@@ -57,6 +59,15 @@ def coefficients(seed: int, j: int) -> tuple[int, int]:
     return a, b
 
 
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """Adds position, 0.. in the given order, by a range partition: each part is numbered by itself, after the sizes of those before it."""
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")  # a row a part
+    return sorted_.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part").withColumn("position", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_part", "_before", "_at")
+
+
 def renumber(ids: DataFrame) -> DataFrame:
     """Dense positions 0.. in id order, for users of positional ids."""
-    return ids.select("vec_id", (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("position"))
+    return ranked(ids.select("vec_id"), "vec_id").select("vec_id", F.col("position").cast("int").alias("position"))

@@ -1,24 +1,55 @@
-"""Navigable small-world graphs, flat and layered, built as batches of k-NN edges."""
+"""Navigable small-world graphs, flat and layered.
+
+Nodes are inserted in the order of a hash of their ids; each is linked, both
+ways, to the m nearest of those before it, found exactly. Early nodes have few
+to choose from, so their links are long, which is what a search needs to get
+about. All insertions are one job: pairs that share an entry, later against
+earlier. Every node is linked to the first one if it shares nothing with others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from nearfield.functions.vectors import PRIME, coefficients, uniform_hash
-from nearfield.operators.knn import knn, rerank, top_k
+from nearfield.functions.vectors import PRIME, coefficients, norms, ranked, uniform_hash
+from nearfield.operators.knn import overlaps, rerank, score, top_k
 from nearfield.plans.store import cut
 
 
-def edges(vectors: DataFrame, m: int, name: str) -> DataFrame:
-    """(src, dst): the m nearest of every node, both directions, no self links or repeats."""
-    near = knn(vectors, vectors.withColumnRenamed("vec_id", "query_id"), m + 1, name).filter("query_id <> vec_id")
-    w = Window.partitionBy("query_id").orderBy("rnk")
-    one = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= m).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
+def insertion(ids: DataFrame, seed: int = 1) -> DataFrame:
+    """(vec_id, turn): places in the order of insertion."""
+    order = uniform_hash(F.col("vec_id") + 1, *coefficients(seed, 9))
+    return ranked(ids.select("vec_id").withColumn("order", order), "order", "vec_id").select("vec_id", F.col("position").alias("turn"))
+
+
+def nearest_before(vectors: DataFrame, nodes: DataFrame, turns: DataFrame, m: int, name: str) -> DataFrame:
+    """(src, dst): for each of the vectors `nodes`, the m nearest of those inserted before it, both ways."""
+    asked = nodes.withColumnRenamed("vec_id", "query_id")
+    shared = overlaps(vectors, asked).join(turns, "vec_id").join(turns.select(F.col("vec_id").alias("query_id"), F.col("turn").alias("own")), "query_id").filter("turn < own").drop("turn", "own")
+    first = turns.filter("turn = 0").select("vec_id")
+    alone = asked.select("query_id").distinct().join(F.broadcast(first), F.col("query_id") != F.col("vec_id"))  # one row
+    alone = alone.join(shared, ["query_id", "vec_id"], "left_anti").withColumns({"dot": F.lit(0.0), "inter": F.lit(0).cast("long")})
+    best = top_k(score(shared.unionByName(alone), norms(vectors), norms(asked, key="query_id"), name), m)
+    one = best.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
     return one.union(one.select("dst", "src")).distinct()
 
 
+def edges(vectors: DataFrame, m: int, name: str, seed: int = 1) -> DataFrame:
+    """(src, dst) of the whole graph; no self links or repeats."""
+    return nearest_before(vectors, vectors, cut(insertion(vectors.select("vec_id").distinct(), seed)), m, name)
+
+
+def insert(links: DataFrame, vectors: DataFrame, more: DataFrame, m: int, name: str) -> DataFrame:
+    """The links with new vectors inserted after the others, in the order of their ids."""
+    old, new = vectors.select("vec_id").distinct(), more.select("vec_id").distinct()
+    start = old.count()
+    turns = cut(old.withColumn("turn", F.lit(0).cast("long")).unionByName(ranked(new, "vec_id").select("vec_id", (F.col("position") + max(start, 1)).alias("turn"))))
+    least = turns.agg(F.min("vec_id").alias("vec_id"))
+    turns = turns.join(F.broadcast(least.withColumn("first", F.lit(True))), "vec_id", "left").withColumn("turn", F.when(F.col("first"), F.lit(0).cast("long")).when(F.col("turn") == 0, F.lit(1).cast("long")).otherwise(F.col("turn") + 1)).drop("first") if start else turns
+    return links.union(nearest_before(vectors.unionByName(more), more, turns, m, name)).distinct()
+
+
 def levels(ids: DataFrame, factor: float = 0.5, max_layers: int = 16, seed: int = 1) -> DataFrame:
     """(vec_id, level): geometric, by successive hashes below factor; independent of partitioning."""
     hit = [uniform_hash(uniform_hash(F.col("vec_id") + 1, *coefficients(seed, 2 * j)), *coefficients(seed, 2 * j + 1)) < int(factor * PRIME) for j in range(max_layers)]
@@ -28,8 +59,12 @@ def levels(ids: DataFrame, factor: float = 0.5, max_layers: int = 16, seed: int
     return ids.select("vec_id", level.alias("level"))
 
 
+def of_layer(vectors: DataFrame, of: DataFrame, layer: int) -> DataFrame:
+    return vectors.join(of.filter(F.col("level") >= layer).select("vec_id"), "vec_id", "left_semi")
+
+
 def layer_edges(vectors: DataFrame, of: DataFrame, layer: int, m: int, name: str) -> DataFrame:
-    return edges(vectors.join(of.filter(F.col("level") >= layer).select("vec_id"), "vec_id", "left_semi"), m, name)
+    return edges(of_layer(vectors, of, layer), m, name)
 
 
 def beam(vectors: DataFrame, queries: DataFrame, links: DataFrame, entry: DataFrame, ef: int, name: str) -> DataFrame:
@@ -61,6 +96,19 @@ class Layered:
         top = of.agg(F.max("level")).first()[0] or 0
         return cls(of, {layer: cut(layer_edges(vectors, of, layer, m, name)) for layer in range(top + 1)}, name)
 
+    def add(self, vectors: DataFrame, more: DataFrame, m: int, factor: float, max_layers: int, seed: int) -> Layered:
+        """With new vectors, linked on every layer that they reach; the tallest may open new layers."""
+        new = cut(levels(more.select("vec_id").distinct(), factor, max_layers, seed))
+        of = cut(self.of.unionByName(new))
+        top = of.agg(F.max("level")).first()[0] or 0
+        none = self.links[0].limit(0)
+        return Layered(of, {n: cut(insert(self.links.get(n, none), of_layer(vectors, self.of, n), of_layer(more, new, n), m, self.name)) for n in range(top + 1)}, self.name)
+
+    def remove(self, ids: DataFrame) -> Layered:
+        of = cut(self.of.join(ids.select("vec_id"), "vec_id", "left_anti"))
+        top = of.agg(F.max("level")).first()[0] or 0
+        return Layered(of, {n: cut(remove(df, ids)) for n, df in self.links.items() if n <= top}, self.name)
+
     def search(self, vectors: DataFrame, queries: DataFrame, k: int, ef: int = 50) -> DataFrame:
         """From the entry point (least id of the top layer) greedily down, then a beam of max(ef, k) on layer 0."""
         start = self.of.agg(F.max_by("vec_id", F.struct("level", -F.col("vec_id"))).alias("vec_id"))

@@ -3,7 +3,9 @@
 Pairs that share an entry come from an equi-join on idx. Pairs that share none
 have a distance that depends on the two norms only, so per query the first
 k + (number of overlapping vectors) vectors of one fixed order contain its k
-best of those; they are met by an equi-join on their rank.
+best of those; they are met by an equi-join on their rank. Only queries that
+have fewer than k overlapping vectors at a smaller distance than any other
+vector can have are filled so.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.distances import distance, metric
-from nearfield.functions.vectors import norms
+from nearfield.functions.vectors import norms, ranked
+from nearfield.plans.store import cut
 
 
 def overlaps(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -33,22 +36,23 @@ def top_k(scored: DataFrame, k: int, by: str = "distance") -> DataFrame:
 def score(pairs: DataFrame, base: DataFrame, query: DataFrame, name: str) -> DataFrame:
     """Adds distance to pairs (query_id, vec_id, dot, inter); base and query are norms of the two sides."""
     full = pairs.join(base.select("vec_id", F.col("n2").alias("bn2"), F.col("nnz").alias("bnnz")), "vec_id").join(query.select("query_id", F.col("n2").alias("qn2"), F.col("nnz").alias("qnnz")), "query_id")
-    return full.withColumn("distance", distance(name, *(F.col(c) for c in ("dot", "inter", "qn2", "bn2", "qnnz", "bnnz"))))
+    # sums of doubles differ in the last places with the order of the rows, so distances have as many places as the order goes by
+    return full.withColumn("distance", F.round(distance(name, *(F.col(c) for c in ("dot", "inter", "qn2", "bn2", "qnnz", "bnnz"))), 9) + 0.0)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, name: str = "cosine", ids: DataFrame | None = None, query_ids: DataFrame | None = None) -> DataFrame:
     """(query_id, rnk, vec_id, distance, score): score is 1 - distance, higher is better."""
     name = metric(name)
     base, query = norms(vectors, ids), norms(queries, query_ids, "query_id")
-    shared = overlaps(vectors, queries)
-    most = query.join(shared.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").select("query_id", (F.coalesce("c", F.lit(0)) + k).alias("fill"))
-    deepest = most.agg(F.max("fill")).first()[0]
-    if deepest is None:
-        deepest = k
+    shared = cut(overlaps(vectors, queries))
+    scored = score(shared, base, query, name)
+    # no vector without a common entry is nearer than this
+    least = {"euclidean": F.sqrt("qn2"), "cosine": F.lit(1.0), "jaccard": F.when(F.col("qnnz") == 0, 0.0).otherwise(1.0), "angular": F.lit(0.5), "dot": F.lit(0.0), "inner_product": F.lit(0.0)}[name]
+    near = scored.groupBy("query_id").agg(F.count("*").alias("c"), F.count_if(F.col("distance") < F.round(least, 9)).alias("near"))
+    most = cut(query.join(near, "query_id", "left").filter(F.coalesce("near", F.lit(0)) < k).select("query_id", (F.coalesce("c", F.lit(0)) + k).alias("fill")))
     order = ["n2", "vec_id"] if name == "euclidean" else ["vec_id"]
-    first = base.orderBy(*order).limit(int(deepest))
-    ranked = first.select("vec_id", F.row_number().over(Window.orderBy(*order)).alias("r"))
-    filler = most.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("fill").cast("long"))).alias("r")).join(ranked, "r").select("query_id", "vec_id")
+    places = ranked(base.select("vec_id", "n2"), *order).select("vec_id", (F.col("position") + 1).alias("r"))
+    filler = most.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("fill").cast("long"))).alias("r")).join(places, "r").select("query_id", "vec_id")
     if name == "jaccard":  # an empty query is at distance 0 of empty vectors
         empty = base.filter("nnz = 0").orderBy("vec_id").limit(k).select("vec_id", F.lit(0).alias("z"))
         filler = filler.union(query.filter("nnz = 0").select("query_id", F.lit(0).alias("z")).join(empty, "z").select("query_id", "vec_id")).distinct()

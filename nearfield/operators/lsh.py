@@ -28,20 +28,33 @@ def simhash(vectors: DataFrame, hashes: int, bits: int = BITS, seed: int = 1, ke
     return sums.select(key, F.posexplode(F.array(*codes)).alias("j", "h"))
 
 
-def buckets(signatures: DataFrame, n: int, shared: bool = False) -> DataFrame:
-    """Adds the bucket; with shared, all functions fill one table."""
-    out = signatures.withColumn("bucket", F.pmod("h", F.lit(n)).cast("int"))
-    return out.withColumn("j", F.lit(0)) if shared else out
+def buckets(signatures: DataFrame, n: int | None, shared: bool = False, band: int = 1) -> DataFrame:
+    """(key, j, bucket): the signature's hash modulo n; without n the hashes of `band` functions (of 64 at most) together, so that
+    buckets get no fuller as the table grows. With shared, all functions fill one table."""
+    key = next(c for c in ("vec_id", "query_id") if c in signatures.columns)
+    if n is None:
+        # a sum of the functions' hashes, each times a coefficient of its own
+        times = F.lit(0).cast("long")
+        for j in range(64):
+            times = F.when(F.col("j") == j, F.lit(coefficients(j, 2)[0]).cast("long")).otherwise(times)
+        out = signatures.groupBy(key, F.floor(F.col("j") / band).cast("int").alias("j")).agg((F.sum(F.col("h") % PRIME * times % PRIME) % PRIME).alias("bucket"))
+    else:
+        out = signatures.select(key, "j", F.pmod("h", F.lit(n)).alias("bucket"))
+    return out.withColumn("j", F.lit(0)).distinct() if shared else out
 
 
 def candidates(base: DataFrame, query: DataFrame) -> DataFrame:
     return query.join(base, ["j", "bucket"]).select("query_id", "vec_id").distinct()
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, name: str, kind: str = "minhash", n_buckets: int = 64, hashes: int = 4, seed: int = 1, shared: bool = False) -> DataFrame:
+def signed(vectors: DataFrame, kind: str = "minhash", n_buckets: int | None = 32, hashes: int = 8, seed: int = 1, shared: bool = True, band: int = 1, key: str = "vec_id") -> DataFrame:
+    """The rows of the bucket table that vectors have."""
     if hashes < 2:
         raise ValueError("at least two hash functions")
-    sign = {"minhash": minhash, "simhash": simhash}[kind]
-    b = buckets(sign(vectors, hashes, seed=seed), n_buckets, shared)
-    q = buckets(sign(queries, hashes, seed=seed, key="query_id"), n_buckets, shared)
-    return rerank(candidates(b, q), vectors, queries, k, name)
+    return buckets({"minhash": minhash, "simhash": simhash}[kind](vectors, hashes, seed=seed, key=key), n_buckets, shared, band)
+
+
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int, name: str, table: DataFrame | None = None, **how) -> DataFrame:
+    """The k nearest of those that share a bucket, by exact distance; `table` is a bucket table built before."""
+    base = signed(vectors, **how) if table is None else table
+    return rerank(candidates(base, signed(queries, key="query_id", **how)), vectors, queries, k, name)

@@ -30,9 +30,10 @@ def encode(vectors: DataFrame, codebooks: DataFrame, parts: int, name: str = "eu
 def tables(queries: DataFrame, codebooks: DataFrame, parts: int, name: str) -> DataFrame:
     """(query_id, g, cid, d): distance of each slice of a query to each codeword of that slice."""
     q = split_by_position(queries, parts, "query_id").withColumnRenamed("m", "g")
+    # codewords are as many as the parameters ask for
     n2 = lambda df, key, p: df.groupBy("g", key).agg(F.sum(F.col("val") * F.col("val")).alias(f"{p}n2"), F.count("*").alias(f"{p}nnz"))
     dots = q.join(codebooks.withColumnRenamed("val", "cv"), ["g", "idx"]).groupBy("g", "query_id", "cid").agg(F.sum(F.col("val") * F.col("cv")).alias("dot"), F.count("*").alias("inter"))
-    every = n2(q, "query_id", "q").join(n2(codebooks, "cid", "b"), "g").join(dots, ["g", "query_id", "cid"], "left").fillna({"dot": 0.0, "inter": 0})
+    every = n2(q, "query_id", "q").join(F.broadcast(n2(codebooks, "cid", "b")), "g").join(dots, ["g", "query_id", "cid"], "left").fillna({"dot": 0.0, "inter": 0})
     return every.select("query_id", "g", "cid", distance(name, *(F.col(x) for x in ("dot", "inter", "qn2", "bn2", "qnnz", "bnnz"))).alias("d"))
 
 
@@ -53,14 +54,28 @@ class Inverted:
         whole = vectors.withColumn("g", F.lit(0))
         centers = kmeans.lloyd(whole, coarse, iterations, tolerance, seed, name)
         lists = cut(kmeans.assign(whole, centers, name).select("vec_id", F.col("cid").alias("list")))
-        sub = split_by_position(vectors, parts).join(lists, "vec_id").withColumn("g", F.col("list") * parts + F.col("m")).drop("m", "list")
+        sub = cut(cls.parted(vectors, lists, parts))
         books = kmeans.lloyd(sub, clusters, iterations, tolerance, seed, name)
         codes = cut(kmeans.assign(sub, books, name).select("vec_id", "g", "cid"))
         return cls(centers, lists, books, codes, parts, name)
 
+    @staticmethod
+    def parted(vectors: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
+        return split_by_position(vectors, parts).join(lists, "vec_id").withColumn("g", F.col("list") * parts + F.col("m")).drop("m", "list")
+
+    def add(self, more: DataFrame) -> Inverted:
+        """New vectors in their nearest lists, by the codebooks there are."""
+        lists = cut(kmeans.assign(more.withColumn("g", F.lit(0)), self.coarse, self.name).select("vec_id", F.col("cid").alias("list")))
+        codes = kmeans.assign(self.parted(more, lists, self.parts), self.codebooks, self.name).select("vec_id", "g", "cid")
+        return Inverted(self.coarse, cut(self.lists.unionByName(lists)), self.codebooks, cut(self.codes.unionByName(codes)), self.parts, self.name)
+
+    def remove(self, ids: DataFrame) -> Inverted:
+        gone = ids.select("vec_id")
+        return Inverted(self.coarse, cut(self.lists.join(gone, "vec_id", "left_anti")), self.codebooks, cut(self.codes.join(gone, "vec_id", "left_anti")), self.parts, self.name)
+
     def probes(self, queries: DataFrame, n: int) -> DataFrame:
         """(query_id, list): the n nearest coarse clusters."""
-        d = tables(queries.withColumn("val", F.col("val")), self.coarse, 1, self.name)
+        d = tables(queries, self.coarse, 1, self.name)
         w = Window.partitionBy("query_id").orderBy(F.round("d", 9), "cid")
         return d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("query_id", F.col("cid").alias("list"))
 
@@ -69,7 +84,7 @@ class Inverted:
         q = split_by_position(queries, self.parts, "query_id").join(probed, "query_id").withColumn("g", F.col("list") * self.parts + F.col("m"))
         n2 = lambda df, keys, p: df.groupBy(*keys).agg(F.sum(F.col("val") * F.col("val")).alias(f"{p}n2"), F.count("*").alias(f"{p}nnz"))
         dots = q.join(self.codebooks.withColumnRenamed("val", "cv"), ["g", "idx"]).groupBy("g", "query_id", "cid").agg(F.sum(F.col("val") * F.col("cv")).alias("dot"), F.count("*").alias("inter"))
-        every = n2(q, ["g", "query_id"], "q").join(n2(self.codebooks, ["g", "cid"], "b"), "g").join(dots, ["g", "query_id", "cid"], "left").fillna({"dot": 0.0, "inter": 0})
+        every = n2(q, ["g", "query_id"], "q").join(F.broadcast(n2(self.codebooks, ["g", "cid"], "b")), "g").join(dots, ["g", "query_id", "cid"], "left").fillna({"dot": 0.0, "inter": 0})
         d = every.select("query_id", "g", "cid", distance(self.name, *(F.col(x) for x in ("dot", "inter", "qn2", "bn2", "qnnz", "bnnz"))).alias("d"))
         summed = self.codes.join(d, ["g", "cid"]).groupBy("query_id", "vec_id").agg(F.sum("d").alias("distance"))
         return top_k(summed, k).select("query_id", "rnk", "vec_id", "distance")

@@ -33,39 +33,60 @@ def route(assigned: DataFrame, vectors: DataFrame, chosen: DataFrame, pivot_vect
     return both.select("tree", key, (F.col("node") * 2 + F.when(F.col("d1") < F.col("d2"), 0).otherwise(1)).alias("node"))
 
 
+#: Splits in a row that may leave a node whole, and levels that numbers of nodes have room for.
+STUCK = 4
+DEEPEST = 60
+
+
 class Forest:
     def __init__(self, levels: list[DataFrame], leaves: DataFrame, name: str) -> None:
         self.levels, self.leaves, self.name = levels, leaves, name
 
     @classmethod
-    def fit(cls, vectors: DataFrame, trees: int, max_points: int, name: str, seed: int = 1, max_depth: int = 16) -> Forest:
-        """Split nodes of more than max_points members, at most max_depth times (identical points never part)."""
+    def fit(cls, vectors: DataFrame, trees: int, max_points: int, name: str, seed: int = 1) -> Forest:
+        """Split nodes of more than max_points members, until none is left or STUCK splits in a row have left a node whole (identical points never part)."""
         ids = vectors.select("vec_id").distinct()
-        now = cut(ids.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("node", F.lit(1).cast("long")))
+        now = cut(ids.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumns({"node": F.lit(1).cast("long"), "before": F.lit(0).cast("long"), "stuck": F.lit(0)}))
         levels, done = [], None
-        for depth in range(max_depth + 1):
-            sizes = now.groupBy("tree", "node").count()
-            big = sizes.filter(F.col("count") > max_points).drop("count")
-            rest = now.join(big, ["tree", "node"], "left_anti")
+        for _ in range(DEEPEST):
+            sizes = now.groupBy("tree", "node").agg(F.count("*").alias("n"))
+            now = now.join(sizes, ["tree", "node"]).withColumn("stuck", F.when(F.col("n") == F.col("before"), F.col("stuck") + 1).otherwise(0)).withColumn("before", F.col("n")).drop("n")
+            whole = (F.col("before") <= max_points) | (F.col("stuck") >= STUCK)
+            now = cut(now)
+            rest = now.filter(whole).select("vec_id", "tree", "node")
             done = rest if done is None else done.unionByName(rest)
-            now = cut(now.join(big, ["tree", "node"], "left_semi"))
-            if depth == max_depth or now.isEmpty():
-                done = done.unionByName(now)
+            now = now.filter(~whole)
+            if now.isEmpty():
                 break
-            chosen = cut(pivots(now, seed))
+            chosen = cut(pivots(now.select("vec_id", "tree", "node"), seed))
             levels.append(chosen)
-            now = cut(route(now, vectors, chosen, vectors, name).select("vec_id", "tree", "node"))
+            went = route(now.select("vec_id", "tree", "node"), vectors, chosen, vectors, name)
+            now = cut(went.join(now.select("vec_id", "tree", "before", "stuck"), ["vec_id", "tree"]).select("vec_id", "tree", "node", "before", "stuck"))
+        else:
+            done = done.unionByName(now.select("vec_id", "tree", "node"))
         return cls(levels, cut(done), name)
 
-    def search(self, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """Queries go down every tree by its pivots; the union of their leaves is ranked exactly."""
+    def down(self, vectors: DataFrame, pivot_vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+        """(key, tree, node): the leaf of every tree that each vector falls into."""
         trees = self.leaves.select("tree").distinct()
-        at = queries.select("query_id").distinct().join(F.broadcast(trees)).withColumn("node", F.lit(1).cast("long"))  # a row a tree
+        at = vectors.select(key).distinct().join(F.broadcast(trees)).withColumn("node", F.lit(1).cast("long"))  # a row a tree
         ends = None
         for chosen in self.levels:
             inner = chosen.select("tree", "node").distinct()
             stop = at.join(inner, ["tree", "node"], "left_anti")
             ends = stop if ends is None else ends.unionByName(stop)
-            at = cut(route(at.join(inner, ["tree", "node"], "left_semi"), queries, chosen, vectors, self.name, "query_id").select("query_id", "tree", "node"))
-        ends = at if ends is None else ends.unionByName(at)
+            at = cut(route(at.join(inner, ["tree", "node"], "left_semi"), vectors, chosen, pivot_vectors, self.name, key).select(key, "tree", "node"))
+        return (at if ends is None else ends.unionByName(at)).select(key, "tree", "node")
+
+    def add(self, vectors: DataFrame, more: DataFrame) -> Forest:
+        """New vectors in the leaves that they fall into."""
+        return Forest(self.levels, cut(self.leaves.unionByName(self.down(more, vectors).select(*self.leaves.columns))), self.name)
+
+    def remove(self, ids: DataFrame) -> Forest:
+        """Without ids in the leaves; pivots stay, as they only part the space."""
+        return Forest(self.levels, cut(self.leaves.join(ids.select("vec_id"), "vec_id", "left_anti").select(*self.leaves.columns)), self.name)
+
+    def search(self, vectors: DataFrame, queries: DataFrame, k: int, pivot_vectors: DataFrame | None = None) -> DataFrame:
+        """Queries go down every tree by its pivots; the union of their leaves is ranked exactly."""
+        ends = self.down(queries, vectors if pivot_vectors is None else pivot_vectors, "query_id")
         return rerank(ends.join(self.leaves, ["tree", "node"]).select("query_id", "vec_id"), vectors, queries, k, self.name)

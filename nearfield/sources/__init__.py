@@ -1 +1,7 @@
+"""Readers and writers. Their functions travel to the executors by value, so workers need not have the package installed."""
 
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

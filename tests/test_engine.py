@@ -16,7 +16,7 @@ from nearfield.functions.vectors import from_arrays, norms, split_by_position, t
 from nearfield.index import create_index, load_index
 from nearfield.operators import graph, kmeans, knn, lsh
 from nearfield.plans import measure
-from nearfield.sources import files
+from nearfield.sources import files, sinks
 from nearfield.sources import vectors as src
 from nearfield.streaming.search import search_stream
 
@@ -90,7 +90,7 @@ def test_kmeans_converges(spark):
 def test_every_index_finds_a_vector_itself(spark, kind):
     rng = random.Random(42)
     v = frame(spark, [{k: rng.random() + 0.1 for k in rng.sample(range(40), 10)} for _ in range(80)])
-    params = {"pq": {"clusters": 80, "iterations": 1}, "ivfpq": {"clusters": 40, "coarse": 4, "iterations": 1}, "annoy": {"trees": 2, "max_points": 30}, "nsw": {"m": 8, "hops": 3}, "hnsw": {"m": 8, "max_layers": 1, "hops": 3}}.get(kind, {})
+    params = {"pq": {"clusters": 80, "iterations": 1}, "ivfpq": {"clusters": 40, "coarse": 4, "iterations": 1}, "annoy": {"trees": 2, "max_points": 30}, "nsw": {"m": 8}, "hnsw": {"m": 8, "max_layers": 1}}.get(kind, {})
     got = create_index(kind, "cosine", **params).fit(v).search(knn.as_queries(v, "vec_id = 50"), 5).orderBy("rnk").collect()
     assert got[0].vec_id == 50 and len({r.vec_id for r in got}) == len(got)
 
@@ -152,11 +152,79 @@ def test_generator(spark):
 def test_binary_files(spark, tmp_path):
     ptr, idx, val = [0, 2, 2, 3], [1, 3, 0], [0.5, 1.5, 2.5]
     (tmp_path / "x.csr").write_bytes(struct.pack("<3q", 3, 4, 3) + np.array(ptr, "<i8").tobytes() + np.array(idx, "<i4").tobytes() + np.array(val, "<f4").tobytes())
-    assert sorted(map(tuple, src.read_csr(spark, str(tmp_path / "x.csr")).collect())) == [(0, 1, 0.5), (0, 3, 1.5), (2, 0, 2.5)]
+    assert sorted(tuple(r)[1:] for r in src.read_csr(spark, str(tmp_path / "x.csr")).collect()) == [(0, 1, 0.5), (0, 3, 1.5), (2, 0, 2.5)]
     (tmp_path / "x.gt").write_bytes(struct.pack("<2I", 1, 2) + np.array([7, 3], "<i4").tobytes() + np.array([0.1, 0.2], "<f4").tobytes())
     assert [r.vec_id for r in src.read_truth(spark, str(tmp_path / "x.gt")).orderBy("rnk").collect()] == [7, 3]
 
 
+@pytest.mark.parametrize("encode,read", [(sinks.msgpack_vectors, files.read_msgpack), (sinks.csr, src.read_csr)])
+def test_written_files_are_read_back(spark, tmp_path, encode, read):
+    v = frame(spark, [{k: k / 2 for k in range(i % 4 + 1)} for i in range(23)]).repartition(3)
+    folder = f"file://{tmp_path}/out"
+    written = sinks.write_vectors(v, folder, encode, 5)
+    assert written.select("file").distinct().count() > 4
+    assert sorted(map(tuple, sinks.named(read(spark, folder), written, "vec_id").select("vec_id", "idx", "val").collect())) == sorted(map(tuple, v.select("vec_id", "idx", "val").collect()))
+
+
+def test_saved_index_must_be_known(spark, tmp_path):
+    from nearfield.plans import store
+
+    store.save({"vectors": frame(spark, SIMPLE)}, {"kind": "btree", "tag": 9, "metric": "cosine", "params": {}}, f"file://{tmp_path}/i")
+    with pytest.raises(ValueError, match="no known index"):
+        load_index(spark, f"file://{tmp_path}/i")
+    with pytest.raises(ValueError):
+        create_index("pq", preset="tiny")
+    assert create_index("nsw", preset="real", ef=7).params == {"m": 32, "ef": 7}
+
+
+def test_encoder_must_give_terms(spark):
+    docs = spark.createDataFrame([(1, "a a b")], "doc_id long, text string")
+    assert {r.term: round(r.w, 6) for r in src.encode(docs, src.saturated).collect()} == {"a": round(math.log(3), 6), "b": round(math.log(2), 6)}
+    with pytest.raises(ValueError):
+        src.encode(docs, lambda d: d)
+
+
+def test_empty_clusters_are_set_anew(spark):
+    v = frame(spark, [{0: 1}, {0: 2}, {0: 3}, {1: 9}]).withColumn("g", F.lit(0))
+    centers = kmeans.initial(v, 3)
+    assigned = kmeans.assign(v, centers).withColumn("cid", F.lit(1))
+    new = {r.cid: (r.idx, r.val) for r in kmeans.update(v, assigned, centers, turn=4).collect()}
+    points = {(r.idx, r.val) for r in v.collect()}
+    assert set(new) == {0, 1, 2} and new[0] in points and new[2] in points and new[0] != new[2]
+    one = v.filter("vec_id = 0")
+    few = {r.cid for r in kmeans.update(one, kmeans.assign(one, centers).withColumn("cid", F.lit(1)), centers).collect()}
+    assert few == {0, 1, 2}
+
+
+@pytest.mark.parametrize("kind", ["lsh-minhash", "annoy", "pq", "ivfpq", "nsw", "hnsw"])
+def test_add_and_remove_change_what_was_built(spark, kind):
+    v = src.generate(spark, 40, 60, sparsity=0.7)
+    params = {"lsh-minhash": {}, "pq": {"clusters": 8, "iterations": 1, "rerank": 60}, "ivfpq": {"clusters": 4, "coarse": 3, "iterations": 1, "nprobe": 3, "rerank": 60}, "annoy": {"trees": 4, "max_points": 40}, "nsw": {"m": 8}, "hnsw": {"m": 8, "max_layers": 2}}[kind]
+    index = create_index(kind, "cosine", **params).fit(v.filter("vec_id < 40")).add(v.filter("vec_id >= 40"))
+    q = knn.as_queries(v, "vec_id in (3, 55)")
+    found = index.search(q, 3).filter("rnk = 1").collect()
+    assert {(r.query_id, r.vec_id) for r in found} == {(3, 3), (55, 55)}
+    index.remove(spark.createDataFrame([(55,), (3,), (99,)], "vec_id long"))
+    left = index.search(q, 40).collect()
+    assert left and not {r.vec_id for r in left} & {3, 55}
+
+
+def test_positions_do_not_depend_on_partitions(spark):
+    from nearfield.functions.vectors import ranked
+
+    df = spark.createDataFrame([(i * 37 % 101, i % 5) for i in range(101)], "x long, y int").repartition(7)
+    got = {r.x: r.position for r in ranked(df, "y", "x").collect()}
+    assert got == {r.x: i for i, r in enumerate(df.orderBy("y", "x").collect())}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    benchmark.main(["-i", "lsh-minhash", "-d", "60", "-f", "40", "-m", "jaccard", "--out", f"file://{tmp_path}"])
+    assert "recall: " in capsys.readouterr().out
+    (csv,) = (tmp_path / "lsh-minhash.csv").glob("part-*.csv")
+    head, row = csv.read_text().split()
+    assert head.startswith("execution_time,dataset_size,dataset_dimensionality,recall,precision,f1_score,scalability_factor,queries_per_second") and row.split(",")[2] == "60"
+
+
 def test_names_are_checked(spark):
     assert metric("Cosine") == "cosine"
     with pytest.raises(ValueError):
@@ -240,11 +308,11 @@ def test_stream_of_queries(spark, tmp_path):
     assert sorted((r.query_id, r.vec_id) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [(0, 4), (1, 2)]
 
 
-@pytest.mark.parametrize("kind,params,least", [("annoy", {"trees": 10, "max_points": 60}, 0.3), pytest.param("nsw", {"m": 16}, 0.9, marks=pytest.mark.xfail(reason="open: recall measured 0.31")), ("hnsw", {"m": 16, "max_layers": 3}, 0.9)])
-def test_recall_against_exact_search(spark, kind, params, least):
+@pytest.mark.parametrize("kind,params", [("lsh-minhash", {"hashes": 10}), ("lsh-simhash", {"hashes": 10}), ("annoy", {"trees": 12, "max_points": 100}), ("nsw", {"m": 16}), ("hnsw", {"m": 16, "max_layers": 3}), ("pq", {"clusters": 16, "iterations": 2, "rerank": 300}), ("ivfpq", {"clusters": 16, "coarse": 4, "nprobe": 4, "iterations": 2, "rerank": 300})])
+def test_recall_against_exact_search(spark, kind, params):
     v = src.generate(spark, 60, 400, sparsity=0.8)
     q = knn.as_queries(v, "vec_id % 40 = 0")
     got = create_index(kind, "cosine", **params).fit(v).search(q, 10)
     recall = metrics.quality(got, knn.knn(v, q, 10, "cosine"), 10).agg(F.avg("recall")).first()[0]
     print(kind, recall)
-    assert recall >= least
+    assert recall >= 0.9
