@@ -30,8 +30,8 @@ Components of the links are exact: a pair is left out only if it can't reach
 the threshold or its documents are in one component already.
 
 A point has FINE groups, and for long texts more, a power of two that is at least
-a quarter of the set's size (with four members a group, unrelated sets seem to
-share three quarters, where 8 / 9 are needed); adjacent groups are summed to
+an eighth of the set's size (with eight members a group, unrelated sets seem to
+share four fifths, where 8 / 9 are needed); adjacent groups are summed to
 compare two points of different length, and to get the tree's own COARSE groups.
 
 Texts without words have an empty set and are linked with nothing; with fewer
@@ -58,7 +58,7 @@ SHINGLE = 5
 #: Groups that the tree's boxes have.
 COARSE = 64
 #: Least number of groups of a point.
-FINE = 512
+FINE = 256
 FANOUT = 16
 #: Cells of each row of the sketch, 4 bytes each: a fixed size, sent to every task.
 SKETCH = 1 << 17
@@ -84,18 +84,12 @@ def set_key(s: np.ndarray) -> int:
 
 def point(s: np.ndarray) -> bytes:
     """Counts of a set's groups as the narrowest unsigned integers that hold the largest, after a byte for their width."""
-    bits = max(FINE.bit_length() - 1, (max(len(s) - 1, 0) // 4).bit_length())
+    bits = max(FINE.bit_length() - 1, (max(len(s) - 1, 0) // 8).bit_length())
     counts = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
     narrow_type = np.min_scalar_type(int(counts.max()))
     return bytes([narrow_type.itemsize]) + counts.astype(narrow_type).tobytes()
 
 
-def unpack(raw: pa.Scalar) -> np.ndarray:
-    raw = raw.as_buffer()
-    width = raw[0] if isinstance(raw[0], int) else raw[0][0]
-    return np.frombuffer(raw, f"u{width}", offset=1)
-
-
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """A point (or rows of points) with fewer groups."""
     return counts.reshape(*counts.shape[:-1], groups, -1).sum(-1, dtype=np.uint32) if counts.shape[-1] > groups else counts.astype(np.uint32)
@@ -245,69 +239,122 @@ class CountTree:
 class Points:
     """Points of several lengths, folded to a common one where they are compared."""
 
-    def __init__(self, column: pa.ChunkedArray) -> None:
-        self.rows = [unpack(x) for x in column]
-        self.groups = np.array([len(x) for x in self.rows], np.int64)
+    def __init__(self, column: pa.Array) -> None:
+        self.raw = [x.as_buffer() for x in column]
+        width = np.array([x[0] for x in self.raw], np.int64)
+        self.groups = (np.array([x.size for x in self.raw], np.int64) - 1) // np.maximum(width, 1)
+        self.fine = np.zeros((len(self.raw), FINE), np.uint32)
+        for w, groups in set(zip(width.tolist(), self.groups.tolist())):
+            of = np.flatnonzero((width == w) & (self.groups == groups))
+            cells = np.frombuffer(b"".join([self.raw[i] for i in of.tolist()]), np.uint8).reshape(len(of), -1)[:, 1:]
+            self.fine[of] = folded(np.ascontiguousarray(cells).view(f"u{w}"), FINE)
+
+    def row(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.raw[i], f"u{self.raw[i][0]}", offset=1)
 
-    def coarse(self) -> np.ndarray:
-        return np.array([folded(x, COARSE) for x in self.rows], np.uint32).reshape(-1, COARSE)
+    def coarse(self, of: slice = slice(None)) -> np.ndarray:
+        return folded(self.fine[of], COARSE)
 
     def reach(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Whether the summed minima of rows a and b reach the threshold."""
-        keep, least = np.zeros(len(a), bool), np.minimum(self.groups[a], self.groups[b])
-        for groups in np.unique(least).tolist():
-            of = np.flatnonzero(least == groups)
-            used, place = np.unique(np.concatenate([a[of], b[of]]), return_inverse=True)
-            matrix = np.array([folded(self.rows[i], groups) for i in used.tolist()], np.uint32)
-            step = max(1, (1 << 21) // groups)
-            for k in range(0, len(of), step):
-                x, y = place[k : min(k + step, len(of))], place[len(of) + k : len(of) + min(k + step, len(of))]
-                bound = np.minimum(matrix[x], matrix[y]).sum(1, dtype=np.int64)
-                at = of[k : k + step]
-                keep[at] = 9 * bound >= 4 * (sizes[a[at]] + sizes[b[at]])
+        keep = np.zeros(len(a), bool)
+        for k in range(0, len(a), PAIRS):
+            x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+            keep[k : k + PAIRS] = 9 * np.minimum(self.fine[x], self.fine[y]).sum(1, dtype=np.int64) >= 4 * (sizes[x] + sizes[y])
+        for k in np.flatnonzero(keep & (np.minimum(self.groups[a], self.groups[b]) > FINE)).tolist():
+            x, y = self.row(a[k]), self.row(b[k])
+            groups = min(len(x), len(y))
+            keep[k] = 9 * int(np.minimum(folded(x, groups), folded(y, groups)).sum(dtype=np.int64)) >= 4 * int(sizes[a[k]] + sizes[b[k]])
         return keep
 
 
 _LINK = "shingle long, p int, q int, a long, b long"
-#: Pairs that are bounded and joined at a time.
+#: Pairs that are bounded at a time.
 PAIRS = 1 << 12
+#: Points that fit one box: each is compared with every other.
+BOX = 32
 
 
-def _tree_links(table: pa.Table) -> pa.Table:
-    """Links between components in a subtree (or two parts of one), by the pairs that the tree can't exclude; if some have failed (rows of kind 1), all other pairs."""
-    kind = table.column("kind").to_numpy()
-    failed = table.filter(pa.array(kind == 1))
-    table = table.filter(pa.array(kind == 0))
-    cls, sizes, side = (table.column(c).to_numpy() for c in ("cls", "n", "side"))
-    comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
-    no = set(zip(failed.column("cls").to_pylist(), failed.column("comp").to_pylist()))
-    points, out = Points(table.column("point")), []
-    coarse = points.coarse()
-    if not len(side) or side.max() == 0:
-        a, b = CountTree(coarse, sizes, comp).pairs() if len(side) else (side, side)
+def _group_links(points: Points, of: slice, cls: np.ndarray, comp: np.ndarray, sizes: np.ndarray, side: np.ndarray, no: set) -> list[tuple[int, int]]:
+    """Links between components among the points `of` a subtree (or of two parts of one)."""
+    n = of.stop - of.start
+    if side.max() == 0 and n <= BOX:
+        a, b = np.triu_indices(n, 1)
+    elif side.max() == 0:
+        a, b = CountTree(points.coarse(of), sizes, comp).pairs()
     else:
-        x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        a, b = CountTree(coarse[x], sizes[x], comp[x]).pairs(CountTree(coarse[y], sizes[y], comp[y])) if len(x) and len(y) else (x[:0], y[:0])
+        coarse, x, y = points.coarse(of), np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        if not len(x) or not len(y):
+            return []
+        a, b = CountTree(coarse[x], sizes[x], comp[x]).pairs(CountTree(coarse[y], sizes[y], comp[y]))
         a, b = x[a], y[b]
+    possible = (comp[a] != comp[b]) & (9 * np.minimum(sizes[a], sizes[b]) >= 4 * (sizes[a] + sizes[b]))
+    a, b = a[possible], b[possible]
+    if not len(a):
+        return []
     first, second = np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])
     order = np.lexsort((second, first))  # subtrees with the same members then propose the same links
-    a, b = a[order], b[order]
+    a, b, out, whole = a[order], b[order], [], np.zeros(of.stop, np.int64)
+    whole[of] = sizes
     for k in range(0, len(a), PAIRS):
         i, j = a[k : k + PAIRS], b[k : k + PAIRS]
         apart = comp[i] != comp[j]
         i, j = i[apart], j[apart]
-        if len(i):
-            near = points.reach(i, j, sizes)
-            for u, v in zip(i[near].tolist(), j[near].tolist()):
-                if comp[u] != comp[v]:
-                    pair = (int(min(cls[u], cls[v])), int(max(cls[u], cls[v])))
-                    if pair not in no:
-                        out.append(pair)
-                        if not no:
-                            comp[comp == comp[v]] = comp[u]
-    first = (failed if not table.num_rows else table).slice(0, 1)
-    key = {c: pa.array(np.full(len(out), first.column(c)[0].as_py()), t) for c, t in (("shingle", pa.int64()), ("p", pa.int32()), ("q", pa.int32()))}
-    return pa.table(key | {"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        near = points.reach(i + of.start, j + of.start, whole) if len(i) else np.zeros(0, bool)
+        for u, v in zip(i[near].tolist(), j[near].tolist()):
+            if comp[u] != comp[v]:
+                pair = (int(min(cls[u], cls[v])), int(max(cls[u], cls[v])))
+                if pair not in no:
+                    out.append(pair)
+                    if not no:
+                        comp[comp == comp[v]] = comp[u]
+    return out
+
+
+_KEY = ("shingle", "p", "q")
+
+
+def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every group of rows that are sorted by _KEY, by the pairs that the tree can't exclude; if some have failed (rows of kind 1), all other pairs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.array([batch.column(c).to_numpy() for c in _KEY])
+        if held and (np.array([held[-1].column(c)[-1].as_py() for c in _KEY]) != key[:, 0]).any():
+            yield from _links(pa.Table.from_batches(held))
+            held = []
+        # rows of the group that the batch ends in wait for the next batch
+        others = np.flatnonzero((key != key[:, -1:]).any(0))
+        begin = int(others[-1]) + 1 if len(others) else 0
+        if begin:
+            yield from _links(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield from _links(pa.Table.from_batches(held))
+
+
+def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    key = np.array([table.column(c).to_numpy() for c in _KEY])
+    kind, cls, comp, sizes, side = (table.column(c).to_numpy() for c in ("kind", "cls", "comp", "n", "side"))
+    starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])).tolist()
+    points = Points(table.column("point").filter(pa.array(kind == 0)))
+    at, out, of = np.concatenate([[0], np.cumsum(kind == 0)]), [], []
+    for a, b in zip(starts, [*starts[1:], len(kind)]):
+        old = kind[a:b] == 1
+        no = set(zip(cls[a:b][old].tolist(), comp[a:b][old].tolist()))
+        new = np.flatnonzero(~old) + a
+        if len(new) > 1:
+            local = np.unique(comp[new], return_inverse=True)[1]
+            found = _group_links(points, slice(int(at[a]), int(at[b])), cls[new], local, sizes[new], side[new], no)
+            out += found
+            of += [a] * len(found)
+    rows = np.array(of, np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key[0][rows].astype(np.int64)), pa.array(key[1][rows].astype(np.int32)), pa.array(key[2][rows].astype(np.int32)), pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())],
+        names=[*_KEY, "a", "b"],
+    )
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +416,10 @@ def similar(docs: DataFrame) -> DataFrame:
     star = dealt.select(F.col("list")[0].alias("a"), F.explode("list").alias("b"))
     heads = dealt.groupBy("shingle").agg(F.min(F.col("list")[0]).alias("a")).join(dealt.select("shingle", F.col("list")[0].alias("b")), "shingle").select("a", "b")
     known = classes.select("cls", "n", "point")
-    at = lambda c: known.withColumnsRenamed({"cls": c, "n": f"n{c}", "point": f"p{c}"})
-    near = star.unionByName(heads).filter("a < b").distinct().join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long")
+    pairs = cut(star.unionByName(heads).filter("a < b").distinct())
+    asked = cut(known.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"))
+    at = lambda c: asked.withColumnsRenamed({"cls": c, "n": f"n{c}", "point": f"p{c}"})
+    near = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded, "a long, b long")
     links = cut(_verified(cut(near), docs, classes))
     # steps 4 and 5
     failed = None
@@ -406,7 +455,7 @@ def _search(subtrees: DataFrame, known: DataFrame, comps: DataFrame, failed: Dat
         only = failed.select("shingle", "p", "q").distinct()
         old = failed.select("shingle", "p", "q", F.lit(0).alias("side"), F.col("a").alias("cls"), F.col("b").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), F.lit(1).alias("kind"))
         spread = spread.join(only, ["shingle", "p", "q"], "left_semi").unionByName(old)
-    return spread.groupBy("shingle", "p", "q").applyInArrow(_tree_links, _LINK)
+    return spread.repartition(*_KEY).sortWithinPartitions(*_KEY, F.desc("kind")).mapInArrow(_tree_links, _LINK)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -145,9 +145,9 @@ def test_points_bound_the_overlap_at_any_length():
     rng = np.random.default_rng(4)
     many = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 7, 40, 45, 700, 3000)]
     many += [np.unique(np.concatenate([many[4][:650], many[3]])), np.full(1, 5, np.uint64), many[5][:2800]]
-    column = pa.chunked_array([pa.array([ngram_join.point(s) for s in many], pa.binary())])
+    column = pa.array([ngram_join.point(s) for s in many], pa.binary())
     points, sizes = ngram_join.Points(column), np.array([len(s) for s in many])
-    assert [int(x.sum()) for x in points.rows] == sizes.tolist() and (points.coarse().sum(1) == sizes).all()
+    assert [int(points.row(i).sum()) for i in range(len(many))] == sizes.tolist() and (points.coarse().sum(1) == sizes).all()
     i, j = (x.ravel() for x in np.indices((len(many), len(many))))
     reach = points.reach(i, j, sizes)
     for a, b, ok in zip(i.tolist(), j.tolist(), reach.tolist()):
@@ -166,9 +166,10 @@ def test_search_goes_on_after_failed_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.similar(docs).collect()} == {i: i % 6 for i in range(12)}
 
 
-@pytest.mark.parametrize("part", [1024, 3])
-def test_groups_of_near_copies_give_few_links(spark, part, monkeypatch):
+@pytest.mark.parametrize("part,box", [(1024, 32), (1024, 2), (3, 2)])
+def test_groups_of_near_copies_give_few_links(spark, part, box, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "BOX", box)
     rng, base = random.Random(5), [f"w{i}" for i in range(60)]
     rows = []
     for i in range(40):
