@@ -67,7 +67,7 @@ def pairs_sql(where: str = "vec_id % 100 = 0") -> str:
 def knn_sql(name: str, k: int = K, base: str = "true") -> str:
     return f"""{pairs_sql()}, d AS (SELECT query_id, vec_id, {distance_sql(name)} AS d FROM p WHERE {base}),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d)
-        SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rnk <= {k}"""
+        SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(round(d, 9), 6) + 0.0 AS distance FROM r WHERE rnk <= {k}"""
 
 
 # --- sources -----------------------------------------------------------------
@@ -137,7 +137,7 @@ def renumber_query(spark, sf):
 
 for _name in METRICS:
 
-    @query(f"dist_{_name}", f"{pairs_sql()} SELECT query_id, vec_id, round({distance_sql(_name)}, 6) + 0.0 AS distance FROM p WHERE inter > 0")
+    @query(f"dist_{_name}", f"{pairs_sql()} SELECT query_id, vec_id, round(round({distance_sql(_name)}, 9), 6) + 0.0 AS distance FROM p WHERE inter > 0")
     def dist(spark, sf, name=_name):
         v = src.purchase(spark, sf)
         q = every_hundredth(v)
@@ -192,7 +192,7 @@ def ranked_sql(candidates: str, metric: str, where: str = "true") -> str:
     """The K nearest of the pairs in c."""
     return f"""{candidates}, d AS (SELECT query_id, vec_id, {distance_sql(metric)} AS d FROM p JOIN c USING (query_id, vec_id) WHERE {where}),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d)
-        SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rnk <= {K}"""
+        SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(round(d, 9), 6) + 0.0 AS distance FROM r WHERE rnk <= {K}"""
 
 
 def _lsh_sql(sig: str, where: str = "true") -> str:
@@ -359,7 +359,7 @@ def pq_codes(spark, sf):
 def _pq_sql(where: str = "true", found: str | None = None) -> str:
     return f"""t_d AS (SELECT p.g, vec_id AS query_id, cid, sum(p.val * c.val) AS dot FROM pts p JOIN c1 c USING (g, idx) WHERE vec_id % 100 = 0 GROUP BY 1, 2, 3),
         t_p AS (SELECT g, vec_id AS query_id, sum(val * val) AS qn2 FROM pts WHERE vec_id % 100 = 0 GROUP BY 1, 2), t_c AS (SELECT g, cid, sum(val * val) AS bn2 FROM c1 GROUP BY 1, 2),
-        t AS (SELECT p.g, p.query_id, c.cid, round(sqrt(greatest(qn2 + bn2 - 2 * coalesce(dot, 0.0), 0.0)), 9) AS d FROM t_p p JOIN t_c c USING (g) LEFT JOIN t_d ON t_d.g = p.g AND t_d.query_id = p.query_id AND t_d.cid = c.cid),
+        t AS (SELECT p.g, p.query_id, c.cid, sqrt(greatest(qn2 + bn2 - 2 * coalesce(dot, 0.0), 0.0)) AS d FROM t_p p JOIN t_c c USING (g) LEFT JOIN t_d ON t_d.g = p.g AND t_d.query_id = p.query_id AND t_d.cid = c.cid),
         s AS (SELECT query_id, vec_id, sum(d) AS d FROM codes JOIN t USING (g, cid) WHERE {where} GROUP BY 1, 2), ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM s)
         {", " + found if found else f"SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM ranks WHERE rnk <= {K}"}"""
 
@@ -545,7 +545,7 @@ def _beam_sql(out: str, links: str, entry: str, ef: int) -> str:
 
 
 def _found_sql(cte: str) -> str:
-    return f"SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM {cte} WHERE rnk <= {K}"
+    return f"SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(round(d, 9), 6) + 0.0 AS distance FROM {cte} WHERE rnk <= {K}"
 
 
 NSW_ENTRY = "en AS (SELECT vec_id AS query_id, (SELECT min(vec_id) FROM norms) AS vec_id FROM norms WHERE vec_id % 100 = 0)"
@@ -666,7 +666,7 @@ def _truth_sql(dim: int, count: int, queries: int, seed: int = 42) -> str:
     return f"""WITH b AS ({exact(count, seed)}), q AS ({exact(queries, seed + 1000)}), o AS (SELECT q.vec_id AS query_id, b.vec_id, sum(q.val * b.val) AS dot FROM q JOIN b USING (idx) GROUP BY 1, 2),
         n AS (SELECT vec_id, sum(val * val) AS n2 FROM b GROUP BY 1), m AS (SELECT vec_id AS query_id, sum(val * val) AS n2 FROM q GROUP BY 1),
         d AS (SELECT query_id, vec_id, sqrt(greatest(m.n2 + n.n2 - 2 * coalesce(dot, 0.0), 0.0)) AS d FROM m CROSS JOIN n LEFT JOIN o USING (query_id, vec_id)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d) SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(d, 6) + 0.0 AS distance FROM r WHERE rnk <= {K}"""
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rnk FROM d) SELECT query_id, rnk::INTEGER AS rnk, vec_id, round(round(d, 9), 6) + 0.0 AS distance FROM r WHERE rnk <= {K}"""
 
 
 @query("gen_groundtruth", _truth_sql(500, 300, 30))
@@ -859,7 +859,7 @@ def queries_per_second(spark, sf):
 
 
 NEAREST_TRUTH = f"""WITH t AS ({knn_sql('euclidean', 3)}), x AS ({pairs_sql()} SELECT query_id, vec_id, {distance_sql('euclidean')} AS d FROM p)
-    SELECT query_id, round(min(d), 6) + 0.0 AS distance FROM x WHERE vec_id IN (SELECT vec_id FROM t WHERE query_id <> vec_id) GROUP BY 1"""
+    SELECT query_id, round(round(min(d), 9), 6) + 0.0 AS distance FROM x WHERE vec_id IN (SELECT vec_id FROM t WHERE query_id <> vec_id) GROUP BY 1"""
 
 
 @query("nearest_truth", NEAREST_TRUTH)
