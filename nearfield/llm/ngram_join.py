@@ -25,7 +25,10 @@ frequent, which keeps subtrees small; large ones are dealt in parts.
    verified, so there are fewer links than members. 5. Subtrees of which a link
    has failed are searched again: all pairs that are left between components,
    as verified by now, and haven't failed are verified. Those are pairs close
-   to the threshold; copies are in one component by then.
+   to the threshold; copies are in one component by then. Such a pair shares
+   many subtrees and is listed in the least of them: every class brings the
+   least PLACES of the subtrees it is in, and a pair is left out where both have
+   been in a lesser one.
 Components of the links are exact: a pair is left out only if it can't reach
 the threshold or its documents are in one component already.
 
@@ -46,6 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,10 +277,15 @@ _LINK = "shingle long, p int, q int, a long, b long"
 PAIRS = 1 << 12
 #: Points that fit one box: each is compared with every other.
 BOX = 32
+#: Subtrees that a class brings to the second search, the least of its own.
+PLACES = 16
 
 
-def _group_links(points: Points, of: slice, cls: np.ndarray, comp: np.ndarray, sizes: np.ndarray, side: np.ndarray, no: set) -> list[tuple[int, int]]:
-    """Links between components among the points `of` a subtree (or of two parts of one)."""
+def _group_links(points: Points, of: slice, cls: np.ndarray, comp: np.ndarray, sizes: np.ndarray, side: np.ndarray, no: set, met: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components among the points `of` a subtree (or of two parts of one).
+
+    met: a row of lesser subtrees for each point (0: none); pairs that share one are listed there.
+    """
     n = of.stop - of.start
     if side.max() == 0 and n <= BOX:
         a, b = np.triu_indices(n, 1)
@@ -299,6 +308,8 @@ def _group_links(points: Points, of: slice, cls: np.ndarray, comp: np.ndarray, s
     for k in range(0, len(a), PAIRS):
         i, j = a[k : k + PAIRS], b[k : k + PAIRS]
         apart = comp[i] != comp[j]
+        if met.any():
+            apart &= ~((met[i][:, :, None] == met[j][:, None, :]) & (met[i] != 0)[:, :, None]).any((1, 2))
         i, j = i[apart], j[apart]
         near = points.reach(i + of.start, j + of.start, whole) if len(i) else np.zeros(0, bool)
         for u, v in zip(i[near].tolist(), j[near].tolist()):
@@ -340,6 +351,7 @@ def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
     kind, cls, comp, sizes, side = (table.column(c).to_numpy() for c in ("kind", "cls", "comp", "n", "side"))
     starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])).tolist()
     points = Points(table.column("point").filter(pa.array(kind == 0)))
+    met = _lesser(table)
     at, out, of = np.concatenate([[0], np.cumsum(kind == 0)]), [], []
     for a, b in zip(starts, [*starts[1:], len(kind)]):
         old = kind[a:b] == 1
@@ -347,7 +359,7 @@ def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(~old) + a
         if len(new) > 1:
             local = np.unique(comp[new], return_inverse=True)[1]
-            found = _group_links(points, slice(int(at[a]), int(at[b])), cls[new], local, sizes[new], side[new], no)
+            found = _group_links(points, slice(int(at[a]), int(at[b])), cls[new], local, sizes[new], side[new], no, met[new])
             out += found
             of += [a] * len(found)
     rows = np.array(of, np.int64)
@@ -357,6 +369,16 @@ def _links(table: pa.Table) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _lesser(table: pa.Table) -> np.ndarray:
+    """Of every row, its class's subtrees that come before the row's own; 0 fills up."""
+    lists = table.column("places").combine_chunks()
+    out = np.zeros((table.num_rows, PLACES), np.int64)
+    size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return np.where(out < table.column("place").to_numpy()[:, None], out, 0)
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes whose points' summed minima reach the threshold."""
     for batch in batches:
@@ -423,11 +445,14 @@ def similar(docs: DataFrame) -> DataFrame:
     links = cut(_verified(cut(near), docs, classes))
     # steps 4 and 5
     failed = None
-    for _ in range(2):
+    for again in (False, True):
         comps = cut(components(links, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("comp")))
         found = cut(_search(subtrees, known, comps, failed))
         good = cut(_verified(found.select("a", "b").distinct(), docs, classes))
-        links, failed = cut(links.unionByName(good)), cut(found.join(good, ["a", "b"], "left_anti"))
+        links = links.unionByName(good)
+        if again:
+            break
+        failed = cut(found.join(good, ["a", "b"], "left_anti"))
         if failed.isEmpty():
             break
     last = components(links, "a", "b")
@@ -449,13 +474,20 @@ def _search(subtrees: DataFrame, known: DataFrame, comps: DataFrame, failed: Dat
     pair = F.when(F.col("parts") == 1, F.array(F.struct(part.alias("p"), part.alias("q"), F.lit(0).alias("side")))).otherwise(
         F.transform(o, lambda x: F.struct(F.least(part, x).alias("p"), F.greatest(part, x).alias("q"), F.when(part == x, 0).when(part < x, 1).otherwise(2).alias("side")))
     )
-    members = subtrees.join(mixed, "shingle", "left_semi").withColumn("pair", pair).select("shingle", F.explode("list").alias("cls"), "pair").join(known, "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    spread = members.withColumn("x", F.explode("pair")).select("shingle", "x.p", "x.q", "x.side", "cls", "comp", "n", "point", F.lit(0).alias("kind"))
-    if failed is not None:
-        only = failed.select("shingle", "p", "q").distinct()
-        old = failed.select("shingle", "p", "q", F.lit(0).alias("side"), F.col("a").alias("cls"), F.col("b").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), F.lit(1).alias("kind"))
-        spread = spread.join(only, ["shingle", "p", "q"], "left_semi").unionByName(old)
-    return spread.repartition(*_KEY).sortWithinPartitions(*_KEY, F.desc("kind")).mapInArrow(_tree_links, _LINK)
+    members = subtrees.join(mixed, "shingle", "left_semi").withColumn("pair", pair).select("shingle", F.explode("list").alias("cls"), "pair")
+    spread = lambda rows: rows.withColumn("x", F.explode("pair")).select("shingle", "x.p", "x.q", "x.side", *(c for c in rows.columns if c not in ("shingle", "pair")))
+    described = lambda rows: rows.join(known, "cls").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    columns = ("side", "cls", "comp", "n", "point", F.lit(0).alias("kind"))
+    if failed is None:
+        searched = spread(described(members)).select(*_KEY, *columns, F.lit(0).cast("long").alias("place"), F.lit(None).cast("array<long>").alias("places"))
+    else:
+        only = failed.select(*_KEY).distinct()
+        narrow = cut(spread(members).join(only, list(_KEY), "left_semi").withColumn("place", F.xxhash64(*_KEY)))
+        # where p and q differ, two classes of one side aren't compared
+        least = narrow.filter("p = q").groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("place")), 1, PLACES).alias("places"))
+        old = failed.select(*_KEY, F.lit(0).alias("side"), F.col("a").alias("cls"), F.col("b").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("point"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("array<long>").alias("places"))
+        searched = described(narrow.join(least, "cls", "left")).select(*_KEY, *columns, "place", "places").unionByName(old)
+    return searched.repartition(*_KEY).sortWithinPartitions(*_KEY, F.desc("kind")).mapInArrow(_tree_links, _LINK)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

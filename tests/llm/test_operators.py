@@ -180,6 +180,36 @@ def test_groups_of_near_copies_give_few_links(spark, part, box, monkeypatch):
     assert {r.component_id for r in ngram_join.similar(docs).collect()} == {3}
 
 
+@pytest.mark.parametrize("part", [1024, 6])
+def test_second_search_lists_a_pair_once_and_finds_every_link(spark, part, monkeypatch):
+    """Texts about as near as the threshold share many subtrees; only a few of their pairs link."""
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join.Points, "reach", lambda self, a, b, sizes: np.ones(len(a), bool))
+    listed, search = [], ngram_join._search
+
+    def kept(subtrees, known, comps, failed):
+        listed.append(ngram_join.cut(search(subtrees, known, comps, failed)))
+        return listed[-1]
+
+    monkeypatch.setattr(ngram_join, "_search", kept)
+    rng, rows = random.Random(7), {}
+    for i in range(45):
+        w = [f"w{k}" for k in range(80)]
+        for _ in range(2):
+            w[rng.randrange(5, 75)] = f"x{i}"
+        rows[i] = " ".join(w)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar(docs).collect()}
+    sets, least = {i: shingles(t) for i, t in rows.items()}, {i: i for i in rows}
+    for _ in rows:
+        for i in rows:
+            least[i] = min(least[j] for j in rows if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert got == least and len(set(got.values())) > 3
+    assert len(listed) == 2
+    rows_out, pairs = listed[1].count(), listed[1].select("a", "b").distinct().count()
+    assert 20 < pairs and rows_out <= (1.1 if part == 1024 else 3) * pairs
+
+
 def test_count_tree_keeps_every_pair_that_may_reach_the_threshold():
     rng = np.random.default_rng(2)
     base = rng.poisson(6, (12, ngram_join.COARSE))
