@@ -79,6 +79,11 @@ def _flips(width: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(most + 1) for c in combinations(range(width), r)]
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """Hint df for a merge join: a broadcast by several columns takes 64 MB of the driver's heap at least, however small it is."""
+    return df.hint("merge")
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, also: str, radius: int = RADIUS) -> DataFrame:
     """Pairs of rows whose fp differ in at most radius bits and that agree in `also`; right is expanded."""
     most = radius // len(BLOCKS)
@@ -88,7 +93,7 @@ def hamming_pairs(left: DataFrame, right: DataFrame, also: str, radius: int = RA
     masks = F.when(F.col("key.block") == len(BLOCKS) - 1, F.array(*map(F.lit, _flips(BLOCKS[-1][1], most)))).otherwise(F.array(*map(F.lit, _flips(BLOCKS[0][1], most))))
     spread = spread.withColumn("mask", F.explode(masks)).withColumn("key", F.struct(F.col("key.block").alias("block"), F.col("key.value").bitwiseXOR(F.col("mask")).alias("value"))).drop("mask")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
-    return sides.join(spread, ["key", also]).filter(close).drop("key", "fp", "fp2").distinct()
+    return sides.join(_merged(spread), ["key", also]).filter(close).drop("key", "fp", "fp2").distinct()
 
 
 def _starts() -> Column:
@@ -139,15 +144,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_total = item_weights.groupBy("item").agg(F.sum("c").alias("item_total"))
     null_safe = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("th") == F.col("t"), F.col("start") == F.col("st"), F.col("item_n") == F.col("i_n")]
     renamed = lambda df: df.withColumnsRenamed({"doc_id": "d", "th": "t", "start": "st", "item_n": "i_n"})
-    shared = near.join(renamed(weighted), null_safe).drop("d", "t", "st", "i_n").join(item_weights.select("item", "h", F.col("c").alias("c2")), ["item", "h"])
+    shared = near.join(_merged(renamed(weighted)), null_safe).drop("d", "t", "st", "i_n").join(_merged(item_weights.select("item", "h", F.col("c").alias("c2"))), ["item", "h"])
     shared = shared.groupBy("doc_id", "th", "start", "item_n", "item").agg(F.sum(F.least("c", "c2")).alias("shared"))
-    exact = shared.join(renamed(total), null_safe).drop("d", "t", "st", "i_n").join(item_total, "item").withColumn("united", F.col("total") + F.col("item_total") - F.col("shared"))
+    exact = shared.join(_merged(renamed(total)), null_safe).drop("d", "t", "st", "i_n").join(item_total, "item").withColumn("united", F.col("total") + F.col("item_total") - F.col("shared"))
     exact = exact.filter(F.col("shared") * 100 >= F.col("united") * THRESHOLD)
     return exact.join(ids, "item").select("doc_id", "th", "item_id", "start", "shared", "united")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item."""
-    found = cut(_leaks(docs, benchmark).select("doc_id", "th").distinct())
-    found = found.withColumnsRenamed({"doc_id": "leaking", "th": "leaking_text"})
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaking"]) & (F.xxhash64(docs["text"]) == found["leaking_text"]), "left_anti")
+    # by one number, as the texts aren't shuffled for it (see _merged)
+    found = cut(_leaks(docs, benchmark).select(F.xxhash64("doc_id", "th", F.col("doc_id").isNull()).alias("leaking")).distinct())
+    return docs.join(found, F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"]), docs["doc_id"].isNull()) == found["leaking"], "left_anti")

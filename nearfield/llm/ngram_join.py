@@ -452,7 +452,7 @@ def similar(docs: DataFrame) -> DataFrame:
         links = links.unionByName(good)
         if again:
             break
-        failed = cut(found.join(good, ["a", "b"], "left_anti"))
+        failed = cut(found.join(good.hint("merge"), ["a", "b"], "left_anti"))  # a broadcast by two columns takes 64 MB of the driver's heap
         if failed.isEmpty():
             break
     last = components(links, "a", "b")
@@ -481,7 +481,7 @@ def _search(subtrees: DataFrame, known: DataFrame, comps: DataFrame, failed: Dat
     if failed is None:
         searched = spread(described(members)).select(*_KEY, *columns, F.lit(0).cast("long").alias("place"), F.lit(None).cast("array<long>").alias("places"))
     else:
-        only = failed.select(*_KEY).distinct()
+        only = failed.select(*_KEY).distinct().hint("merge")
         narrow = cut(spread(members).join(only, list(_KEY), "left_semi").withColumn("place", F.xxhash64(*_KEY)))
         # where p and q differ, two classes of one side aren't compared
         least = narrow.filter("p = q").groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("place")), 1, PLACES).alias("places"))

@@ -78,11 +78,8 @@ def _dealt(large: list[int], shards: int, rest: int) -> tuple[list[int], list[fl
 
 
 def _case(node: Column, values: dict[int, object], default: object) -> Column:
-    out = None
-    for k, v in values.items():
-        v = v if isinstance(v, Column) else F.lit(v)
-        out = F.when(node == k, v) if out is None else out.when(node == k, v)
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    """The value of each node: a constant array, which generated code refers to, so that no new code is compiled for new values."""
+    return F.coalesce(F.get(F.array(*(F.lit(values.get(k)).cast("double") for k in range(max(values, default=0) + 1))), node), F.lit(default).cast("double"))
 
 
 def _medians(points: DataFrame, value: Column, active: dict[int, tuple[float, float, float, float]]) -> dict[int, tuple[float, float, int, int]]:

@@ -117,6 +117,20 @@ def test_hamming_blocks_find_every_pair_within_the_radius(spark):
     assert {(r.a, r.b) for r in decontam.hamming_pairs(a, b, "n").collect()} == want
 
 
+def test_small_joins_send_no_relation_by_several_columns(spark):
+    """Such a relation takes 64 MB of the driver's heap, however small it is."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 60))) for i in range(9)] + [(None, "other words than those")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20, 50)))], "item_id long, text string")
+    kept, leaks = decontam.decontaminate(docs, bench), decontam.leaks(docs, bench)
+    assert {r.doc_id for r in kept.collect()} == {*range(9), None} - {r.doc_id for r in leaks.collect()} and leaks.count()
+    for df in (kept, leaks):
+        sent = re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),(?:true|false)\)", df._jdf.queryExecution().executedPlan().toString())
+        assert all(keys.count("input[") == 1 for keys in sent)
+    # nor is code compiled for every value of a node
+    value = spark.range(3).select(sharding._case(F.col("id").cast("int"), {1: 0.25, 2: 7.0}, 0.0).alias("v"))
+    assert [r.v for r in value.collect()] == [0.0, 0.25, 7.0] and "CASE WHEN" not in value._jdf.queryExecution().optimizedPlan().toString()
+
+
 def shingles(t):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
