@@ -353,6 +353,26 @@ def test_suffix_dedup(docs, plain):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(u), sum(g), spans, hashlib.sha256(bytes(x for x, y in zip(u, g) if not y)).hexdigest())
 
 
+def test_dealt_groups_give_rows_by_blocks_of_windows(spark, monkeypatch):
+    """Strings around a passage in several parts: a row for every window would be about 200 for each text and anchor."""
+    from nearfield.llm import repeats
+
+    tables, rng, keep = [], random.Random(5), repeats.cut
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 4)
+    monkeypatch.setattr(repeats, "cut", lambda df: tables.append(keep(df)) or tables[-1])
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, longer = say(250), say(300)
+    # longer's ends are in some texts only, so that some windows across the passage's edges are repeated in other parts
+    texts = {i: say(300) + (longer[: 100 + 5 * i][::-1] if i % 3 == 0 else "")[::-1][-120:] + passage + (longer[: 150 + i] if i % 2 else "") + say(300) for i in range(40)}
+    gone = removed({i: t.encode() for i, t in texts.items()}, 400)
+    assert any(map(any, gone.values())) and not all(map(any, gone.values()))
+    for r in substrings.suffix_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert [x for s in r.removed for x in range(s.lo, s.hi)] == np.flatnonzero(gone[r.doc_id]).tolist()
+    asked, found = next(t for t in tables if "settled" in t.columns and "uh" in t.columns), next(t for t in tables if t.columns[0] == "kh" and "hi" in t.columns)
+    strings = asked.groupBy("kh").count().filter("count > 4").agg(F.sum("count")).first()[0]
+    assert 0 < found.filter("kh is not null").count() <= 20 * strings
+
+
 def test_main_text():
     m = main_text.model()
     page = '<html><head><title>T</title></head><body><nav><ul><li><a href="/x">Home</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Head &amp; all</h1><p><b>First  line<br><p>Second\n line.</p><div class="comments"><p>Nice text.</p></div></article><footer>&copy; me</footer>'
