@@ -62,12 +62,11 @@ def _shingled(df: DataFrame) -> DataFrame:
 
 def _fingerprint(weighted: DataFrame, *keys: str) -> DataFrame:
     """SimHash of each key over its rows (h, c: shingle and weight)."""
-    votes = weighted.groupBy(*keys).agg(*(F.sum(F.when(F.shiftright("h", b).bitwiseAND(F.lit(1)) == 1, F.col("c")).otherwise(-F.col("c"))).alias(f"v{b}") for b in range(64)))
-    bits = None
-    for b in range(64):
-        bit = F.when(F.col(f"v{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return votes.select(*keys, bits.alias("fp"))
+    # the bits go by lambdas: 64 sums are as many expressions for the driver to plan and compile, for windows and again for items
+    vote = lambda b: F.aggregate("held", F.lit(0).cast("long"), lambda v, x: v + F.when(F.getbit(x["h"], b) == 1, x["c"]).otherwise(-x["c"]))
+    bit = lambda fp, b: F.when(vote(b) > 0, fp.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(fp)
+    held = weighted.groupBy(*keys).agg(F.collect_list(F.struct("h", "c")).alias("held"))
+    return held.select(*keys, F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit).alias("fp"))
 
 
 def _block(fp: Column, k: int) -> Column:

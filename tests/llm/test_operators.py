@@ -117,6 +117,17 @@ def test_hamming_blocks_find_every_pair_within_the_radius(spark):
     assert {(r.a, r.b) for r in decontam.hamming_pairs(a, b, "n").collect()} == want
 
 
+def test_fingerprints_follow_the_votes_in_a_small_plan(spark):
+    """A sum for each of 64 bits makes plans and generated code that take much of the driver's memory."""
+    rng, votes = random.Random(9), collections.defaultdict(lambda: [0] * 64)
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.getrandbits(64) - (1 << 63), rng.randint(1, 5)) for _ in range(60)] + [(7, -1, 2), (8, 0, 1), (9, 5, 1), (9, 6, 1)]
+    for key, h, c in rows:
+        votes[key] = [v + (c if h >> b & 1 else -c) for b, v in enumerate(votes[key])]
+    got = decontam._fingerprint(spark.createDataFrame(rows, "k int, h long, c long"), "k")
+    assert {r.k: r.fp % (1 << 64) for r in got.collect()} == {k: sum(1 << b for b in range(64) if v[b] > 0) for k, v in votes.items()}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("getbit") + got._jdf.queryExecution().optimizedPlan().toString().count("shiftright") < 8
+
+
 def test_small_joins_send_no_relation_by_several_columns(spark):
     """Such a relation takes 64 MB of the driver's heap, however small it is."""
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 60))) for i in range(9)] + [(None, "other words than those")], "doc_id long, text string")
