@@ -5,7 +5,7 @@ import random
 import pytest
 
 from nearfield import catalogue
-from nearfield.operators import knn, lsh
+from nearfield.operators import knn, lsh, pq
 
 LONG = "vec_id long, idx int, val double"
 
@@ -40,3 +40,21 @@ def test_a_pair_that_shares_several_buckets_is_made_once(spark):
 def test_purchases_are_joined_once(spark):
     plan = catalogue.purchases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_codes_are_compared_once_whatever_the_number_of_their_vectors(spark, monkeypatch):
+    """Sums of every vector, ties by id, and queries without distances in a list."""
+    monkeypatch.setattr(pq, "SCAN_CODES", 5)
+    rng = random.Random(4)
+    codes = [(i, i % 2 * 3 + g, rng.randrange(2)) for i in range(60) for g in range(1 + i % 3)]
+    table = [(q, g, c, round(rng.random(), 1)) for q in range(5) for g in range(6) if q % 3 != 2 or g < 3 for c in range(2)]
+    found = pq.scan(spark.createDataFrame(codes, "vec_id long, g int, cid int"), spark.createDataFrame(table, "query_id long, g int, cid int, d double"), 3, 7)
+    d, want = {(q, g, c): x for q, g, c, x in table}, []
+    for q in range(5):
+        sums = {}
+        for i, g, c in codes:
+            if (q, g, c) in d:
+                sums[i] = sums.get(i, 0.0) + d[q, g, c]
+        best = sorted((round(x, 9), i) for i, x in sums.items())[:7]
+        want += [(q, r, i, x) for r, (x, i) in enumerate(best, 1)]
+    assert [(a, b, c, round(x, 9)) for a, b, c, x in rows(found, "query_id", "rnk", "vec_id", "distance")] == want
