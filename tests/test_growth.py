@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from nearfield import catalogue
-from nearfield.operators import knn, lsh, pq
+from nearfield.functions.distances import METRICS
+from nearfield.operators import blocks, graph, knn, lsh, pq
 
 LONG = "vec_id long, idx int, val double"
 
@@ -58,3 +60,32 @@ def test_codes_are_compared_once_whatever_the_number_of_their_vectors(spark, mon
         best = sorted((round(x, 9), i) for i, x in sums.items())[:7]
         want += [(q, r, i, x) for r, (x, i) in enumerate(best, 1)]
     assert [(a, b, c, round(x, 9)) for a, b, c, x in rows(found, "query_id", "rnk", "vec_id", "distance")] == want
+
+
+@pytest.mark.parametrize("name", METRICS)
+def test_blocks_give_what_a_join_gives(spark, monkeypatch, name):
+    """With few rows a chunk, several blocks of the base and steps of a few products."""
+    for limit, n in (("CHUNK", 20), ("STEP", 30), ("HELD", 4)):
+        monkeypatch.setattr(blocks, limit, n)
+    v = vectors(spark, n=60, dims=12)
+    q = knn.as_queries(v, "vec_id < 11")
+    every = knn.score(knn.overlaps(v, q), knn.norms(v), knn.norms(q, key="query_id"), name)
+    found = blocks.nearest(v, q, 6, name)
+    assert rows(knn.top_k(found, 6), "query_id", "rnk", "vec_id", "distance") == rows(knn.top_k(every, 6), "query_id", "rnk", "vec_id", "distance")
+    assert rows(found.groupBy("query_id").sum("met"), "query_id", "sum(met)") == rows(every.groupBy("query_id").count(), "query_id", "count")
+
+
+def test_rounding_is_sparks(spark):
+    x = [0.0009765625, 0.1234567895, 1 / 3, 2.5e-10, 5e-10, 123456.0000000005, 7e7, 1e-12, -0.0000000005]
+    want = [r.y for r in spark.createDataFrame([(i, a) for i, a in enumerate(x)], "i int, x double").selectExpr("i", "round(x, 9) + 0.0 as y").orderBy("i").collect()]
+    assert blocks.half_up(np.array(x)).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["cosine", "euclidean", "dot"])
+def test_every_node_has_its_nearest_before_it(spark, name):
+    """Those without an entry in common too, where there are no nearer ones."""
+    v = vectors(spark, n=50, dims=40)
+    turn = {r.vec_id: r.turn for r in graph.insertion(v.select("vec_id").distinct()).collect()}
+    every = spark.createDataFrame([(a, b) for a in turn for b in turn if turn[b] < turn[a]], "query_id long, vec_id long")
+    want = rows(knn.rerank(every, v, knn.as_queries(v, "true"), 5, name), "query_id", "vec_id")
+    assert rows(graph.edges(v, 5, name), "src", "dst") == sorted(want + [(b, a) for a, b in want])
