@@ -7,7 +7,7 @@ import pytest
 
 from nearfield import catalogue
 from nearfield.functions.distances import METRICS
-from nearfield.operators import blocks, graph, knn, lsh, pq
+from nearfield.operators import blocks, graph, knn, lsh, pq, trees
 
 LONG = "vec_id long, idx int, val double"
 
@@ -89,3 +89,18 @@ def test_every_node_has_its_nearest_before_it(spark, name):
     every = spark.createDataFrame([(a, b) for a in turn for b in turn if turn[b] < turn[a]], "query_id long, vec_id long")
     want = rows(knn.rerank(every, v, knn.as_queries(v, "true"), 5, name), "query_id", "vec_id")
     assert rows(graph.edges(v, 5, name), "src", "dst") == sorted(want + [(b, a) for a, b in want])
+
+
+def test_pivots_of_deep_nodes(spark):
+    """Their numbers times a coefficient don't fit a long."""
+    at = spark.createDataFrame([(i, 0, 2**58 + i % 2) for i in range(10)], "vec_id long, tree int, node long")
+    assert trees.pivots(at, 1).count() == 4
+
+
+def test_search_of_leaves_makes_no_row_for_every_mate(spark, monkeypatch):
+    v = vectors(spark)
+    q, forest = knn.as_queries(v, "vec_id < 8"), trees.Forest.fit(v, 2, 6, "cosine")
+    mates = forest.down(q, v, "query_id").join(forest.leaves, ["tree", "node"]).select("query_id", "vec_id")
+    want = rows(knn.rerank(mates, v, q, 9, "cosine"), "query_id", "rnk", "vec_id", "distance")
+    monkeypatch.setattr(trees, "rerank", None, raising=False)
+    assert rows(forest.search(v, q, 9), "query_id", "rnk", "vec_id", "distance") == want
